@@ -2,42 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast; a count decides, beyond it the join shuffles.
-BROADCAST_ROWS = 50_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. ``spark.checkpoint.dir`` names it; only where that is unset
-    (single-machine tests) a temporary folder is chosen."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spoorlake-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is (a shuffled join). ``df`` should
-    be a written table: it is counted here."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+from ..operators.durable import BROADCAST_ROWS, shared_dir, small, written
 
+__all__ = ["BROADCAST_ROWS", "batch", "partition_id", "shared_dir", "small", "table", "texts_of", "written"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

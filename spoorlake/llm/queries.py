@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing
+from . import byte_bpe, deleted_interpolation, packing, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -31,3 +31,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digest_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_deleted_interpolation")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.score_documents(table(spark, sf_dir, "documents"))
