@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, deleted_interpolation, packing, simhash
+from . import byte_bpe, deleted_interpolation, packing, sharding, simhash, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -41,3 +41,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_deleted_interpolation")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted_interpolation.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_label_propagation_sharding")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op8_url_filter")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(spark))
