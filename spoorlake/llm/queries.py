@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, deleted_interpolation, packing, sharding, simhash, url_filter
+from . import bit_sliced, byte_bpe, deleted_interpolation, multi_index, packing, sharding, simhash, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -51,3 +51,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_url_filter")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(spark))
+
+
+@query("op3_bit_sliced_top_k")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_inverted_multi_index")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search_embeddings(table(spark, sf_dir, "embeddings"))
