@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_sliced, byte_bpe, deleted_interpolation, multi_index, packing, sharding, simhash, url_filter
+from . import bit_sliced, byte_bpe, deleted_interpolation, multi_index, packing, quality, secret_scan, sharding, simhash, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -61,3 +61,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_inverted_multi_index")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.grow())
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -16,13 +16,14 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import batch, texts_of, written
+from .common import batch, small, texts_of, written
 
 SHINGLE = 4
 SEED = 42
@@ -84,15 +85,43 @@ def links(fps: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFra
     return near.where(first == F.col("c")).select("a", "b", "n_a", "n_b")
 
 
-def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """``doc_id, fingerprint, n_near, component_id`` for every row of ``docs``."""
-    rows = written(fingerprints(docs), "fingerprints")
+def _groups(rows: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """``fp, n, first, others, part`` of the distinct fingerprints of a written table of ``doc_id, fp``: documents,
+    smallest id, documents with linked fingerprints, and the component's smallest fingerprint."""
     fps = written(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "distinct")
     pairs = written(links(fps, bits, blocks), "links")
     near = pairs.select("a", "n_b").union(pairs.select("b", "n_a")).toDF("fp", "others").groupBy("fp").agg(F.sum("others").alias("others"))
     parts = connected_components(pairs.select("a", "b")).toDF("fp", "part")
     known = fps.join(near, "fp", "left").join(parts, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
-    known = written(known, "known")
+    return written(known.withColumn("others", F.coalesce("others", F.lit(0))), "known")
+
+
+def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """``doc_id, fingerprint, n_near, component_id`` for every row of ``docs``."""
+    rows = written(fingerprints(docs), "fingerprints")
+    known = _groups(rows, bits, blocks)
     names = known.groupBy("part").agg(F.min("first").alias("component_id"))
-    known = known.join(names, "part").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id")
+    known = known.join(names, "part").select("fp", (F.col("n") - 1 + F.col("others")).alias("n_near"), "component_id")
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+
+
+def _fingerprint_udf():
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t or "") for t in texts], np.uint64).view(np.int64))
+
+    return run
+
+
+def keep_one(docs: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """The rows of ``docs``, with their columns, of which each component of near duplicates keeps the one with the
+    smallest ``doc_id`` (null last, then the smallest fingerprint; of rows equal in both, one)."""
+    rows = written(fingerprints(docs), "fingerprints")
+    known = _groups(rows, bits, blocks)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
+    chosen = rows.join(known.select("fp", "part"), "fp").groupBy("part").agg(F.min(order).alias("c"))
+    chosen = small(written(chosen.select(F.col("c.doc_id").alias("_id"), F.col("c.fp").alias("_fp")), "chosen"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    keyed = docs.select(whole, F.col("doc_id").alias("id"), _fingerprint_udf()("text").alias("fp"))
+    kept = keyed.join(chosen, F.col("fp").eqNullSafe(F.col("_fp")) & F.col("id").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["id", "fp"]).select("doc.*")
