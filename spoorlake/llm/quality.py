@@ -98,7 +98,7 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     joined = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "quality").limit(sample)
     found = joined.collect()
-    return Classifier(np.array([r[0] for r in found]).reshape(len(found), -1), np.array([r[1] for r in found], float))
+    return Classifier(np.array([r[0] for r in found], float).reshape(len(found), len(NAMES)), np.array([r[1] for r in found], float))
 
 
 def _ratio_udf(classifier: Classifier):
