@@ -108,13 +108,13 @@ def repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.sum(F.col("n") - 1).alias("repeats"), F.sum(F.col("n") - F.col("own")).alias("cross_source"))
 
 
-_EDGES = "e AS (SELECT DISTINCT c_custkey AS a, c_custkey // 7 AS b FROM customer WHERE c_custkey % 7 < 3 AND c_custkey // 7 <> c_custkey)"
+_EDGES = "e AS (SELECT DISTINCT CAST(o_orderkey AS BIGINT) AS a, -1 - CAST(o_custkey AS BIGINT) AS b FROM orders)"
 
 
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Child and parent ids of a synthetic lineage forest over customers."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("a"))
-    return c.where("a % 7 < 3").select("a", F.floor(F.col("a") / 7).cast("long").alias("b")).where("a <> b").distinct()
+    """Children and parents: orders (their keys) and customers (below zero)."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").cast("long").alias("a"), (-1 - F.col("o_custkey").cast("long")).alias("b")).distinct()
 
 
 @query("lineage_components", f"""WITH RECURSIVE {_EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen)
@@ -124,10 +124,10 @@ def lineage_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("lineage_across_splits", f"""WITH RECURSIVE {_EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen),
-  c AS (SELECT node, min(seen) AS component FROM r GROUP BY 1) SELECT component, count(*) AS members, count(DISTINCT node % 3) AS splits FROM c GROUP BY 1 HAVING count(DISTINCT node % 3) > 1""")
+  c AS (SELECT node, min(seen) AS component FROM r GROUP BY 1) SELECT component, count(*) AS members, count(DISTINCT abs(node) % 3) AS splits FROM c GROUP BY 1 HAVING count(DISTINCT abs(node) % 3) > 1""")
 def lineage_across_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = connected_components(lineage_edges(spark, sf_dir))
-    return parts.groupBy("component").agg(F.count("*").alias("members"), F.countDistinct(F.pmod("node", F.lit(3))).alias("splits")).where("splits > 1")
+    return parts.groupBy("component").agg(F.count("*").alias("members"), F.countDistinct(F.abs("node") % 3).alias("splits")).where("splits > 1")
 
 
 @query("dataset_stats", _DOCS + """ SELECT 'source' AS dimension, source AS value, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT 'lang', lang, count(*) FROM d GROUP BY ALL UNION ALL SELECT 'split', split, count(*) FROM d GROUP BY ALL
