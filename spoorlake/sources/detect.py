@@ -118,4 +118,4 @@ def completion_messages(docs: DataFrame) -> DataFrame:
 def session_of(value: Column) -> Column:
     """The first of conversation_id, uuid, id, session_id."""
     v = F.try_parse_json(value)
-    return F.coalesce(*[F.try_variant_get(v, "$." + k, "string") for k in ("conversation_id", "uuid", "id", "session_id")])
+    return F.coalesce(*[F.try_variant_get(v, "$." + k, "string") for k in "conversation_id uuid id session_id".split()])

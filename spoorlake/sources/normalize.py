@@ -16,8 +16,8 @@ from ..functions.hashing import stable_id
 #: Alias lists of usage fields; the first finite, non-negative number counts.
 USAGE = {
     "input_tokens": ("input_tokens", "inputTokens", "prompt_tokens", "promptTokenCount"), "output_tokens": ("output_tokens", "outputTokens", "completion_tokens", "candidatesTokenCount"),
-    "reasoning_tokens": ("reasoning_tokens", "reasoningTokens", "thoughtsTokenCount"), "cache_read_tokens": ("cache_read_input_tokens", "cache_read_tokens", "cacheReadTokens", "cached_input_tokens", "cachedContentTokenCount"),
-    "latency_ms": ("latency_ms", "duration_ms", "durationMs"), "cost_usd": ("cost_usd", "total_cost_usd", "costUsd"),
+    "reasoning_tokens": ("reasoning_tokens", "reasoningTokens", "thoughtsTokenCount"), "cache_read_tokens": tuple("cache_read_input_tokens cache_read_tokens cacheReadTokens cached_input_tokens cachedContentTokenCount".split()),
+    "latency_ms": tuple("latency_ms duration_ms durationMs".split()), "cost_usd": tuple("cost_usd total_cost_usd costUsd".split()),
 }
 
 
@@ -45,7 +45,7 @@ def raw_envelopes(lines: DataFrame, adapter: str, interface: str) -> DataFrame:
     at = F.row_number().over(Window.partitionBy("path").orderBy("line")) - 1
     return rows.select(
         "path", F.lit(adapter).alias("adapter"), F.lit(interface).alias("interface_version"), instant(F.col("v"), "timestamp", "created_at", "createdAt").alias("captured_at"), at.cast("long").alias("sequence"),
-        get(F.col("v"), "event_id", "eventId", "id").alias("source_event_id"), get(F.col("v"), "session_id", "sessionId", "thread_id", "threadId").alias("session_id"), get(F.col("v"), "turn_id", "turnId").alias("turn_id"),
+        get(F.col("v"), "event_id", "eventId", "id").alias("source_event_id"), get(F.col("v"), *"session_id sessionId thread_id threadId".split()).alias("session_id"), get(F.col("v"), "turn_id", "turnId").alias("turn_id"),
         F.sha2("value", 256).alias("payload_sha256"), F.col("value").alias("payload"), F.col("v"),
     )
 
