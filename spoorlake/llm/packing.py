@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, partition_id, small, texts_of, written
+from .common import batch, partition_id, release, small, texts_of, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids each Python worker remembers.
+#: Chunks whose ids a task remembers (about 200 bytes each); they are forgotten at its end, as workers live on.
 CACHE = 500_000
 #: Pieces of one length that one task ranks, about.
 BUCKET_ROWS = 200_000
@@ -48,15 +48,13 @@ class WordTokenizer:
         self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.last[ends] = True
         self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
         self.limit = cache
 
     def _one(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_words(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > self.limit:
-            self.words = {"": b""}
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        out = {"": b""}
         groups = [words[i : i + 256] for i in range(0, len(words), 256)]
         made = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
         for group, encoding in zip(groups, made):
@@ -64,9 +62,10 @@ class WordTokenizer:
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(group) and ends[-1] == len(ids):
                 raw, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
-                self.words.update((w, raw[a:b]) for w, a, b in zip(group, cuts, cuts[1:]))
+                out.update((w, raw[a:b]) for w, a, b in zip(group, cuts, cuts[1:]))
             else:
-                self.words.update((w, self._one(w)) for w in group)
+                out.update((w, self._one(w)) for w in group)
+        return out
 
     def _learn(self, chunks: set[str]) -> None:
         simple, match = {}, _SIMPLE.fullmatch
@@ -75,13 +74,11 @@ class WordTokenizer:
                 simple[c] = m.groups()
             else:
                 self.chunks[c] = self._one(c)
-        for _ in range(2):  # words may be forgotten once while they are learnt
-            known = self.words
-            if new := [*{w for pair in simple.values() for w in pair if w not in known}]:
-                self._learn_words(new)
-        of = self.words
-        for c, (a, b) in simple.items():
-            self.chunks[c] = (of[a] + of[b]) if a in of and b in of else self._one(c)
+        of = self._words([*{w for pair in simple.values() for w in pair if w}])
+        self.chunks.update((c, of[a] + of[b]) for c, (a, b) in simple.items())
+
+    def forget(self) -> None:
+        self.chunks = {"": b""}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -110,13 +107,14 @@ class WordTokenizer:
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, cache: int = CACHE) -> WordTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
+    _tokenizers[path].limit = cache
     return _tokenizers[path]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of every document, plus ``task`` and ``n``, which
     together number the rows of this run."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "n"] + ["ids"] * with_ids
@@ -125,7 +123,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task, n = tokenizer(path), partition_id(), 0
+        words, task, n = tokenizer(path, cache), partition_id(), 0
         for b, texts in texts_of(batches):
             rows = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), words.ids(texts)):
@@ -135,6 +133,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), task, n, part)[: len(names)])
                     n += 1
             yield batch(schema, [*zip(*rows)])
+        words.forget()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task long, n long" + ", ids binary" * with_ids)
 
@@ -236,9 +236,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     }).drop("task", "n", "r", "first", "rank", "runs", "run", "k")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Tokenise, cut and pack all ``docs``: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and
     ``ids``). The pieces are written once; only their lengths are shuffled unless ``with_ids``."""
-    rows = written(pieces(docs, path, capacity, end_id, with_ids), "pieces")
+    rows = written(pieces(docs, path, capacity, end_id, with_ids, cache), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
     return pack(rows, capacity).select(*columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, small, texts_of, written
+from .common import batch, release, small, texts_of, written
 
 #: Labelled rows that fit the classifier at most: those with the smallest hashes of their id.
 SAMPLE = 20_000
@@ -57,6 +57,7 @@ def feature_rows(docs: DataFrame, host: str = "source", path: str = "lang") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in texts_of(batches):
             yield batch(schema, [b.column("doc_id"), b.column("host"), b.column("path"), [features(t) for t in texts]])
+        release()
 
     rows = docs.select("doc_id", "text", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
     return rows.mapInArrow(run, "doc_id long, host string, path string, x array<double>")
@@ -104,7 +105,9 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
 def _ratio_udf(classifier: Classifier):
     @F.pandas_udf("double")
     def ratio(texts: pd.Series) -> pd.Series:
-        return pd.Series(classifier.ratio(np.array([features(t or "") for t in texts], float).reshape(len(texts), len(NAMES))))
+        x = np.array([features(t or "") for t in texts], float).reshape(len(texts), len(NAMES))
+        release()
+        return pd.Series(classifier.ratio(x))
 
     return ratio
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts_of
+from .common import batch, release, texts_of
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.~\-]{16,}")
 MARK = "[SECRET]"
@@ -279,6 +279,7 @@ def redact(docs: DataFrame, forest: Forest, path: str = "source", threshold: flo
                     at = b
             if at:
                 out.iloc[i] = "".join([*parts, whole[i][at:]])
+        release()
         return out
 
     changed = docs.withColumn("_text", clean(F.col("text"), F.col(path).cast("string")))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import batch, small, texts_of, written
+from .common import batch, release, small, texts_of, written
 
 SHINGLE = 4
 SEED = 42
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b, texts in texts_of(batches):
             fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             yield batch(schema, [b.column("doc_id"), fps])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -108,7 +109,9 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS)
 def _fingerprint_udf():
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t or "") for t in texts], np.uint64).view(np.int64))
+        fps = np.array([fingerprint(t or "") for t in texts], np.uint64).view(np.int64)
+        release()
+        return pd.Series(fps)
 
     return run
 
