@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from spoorlake.llm import packing, quality, secret_scan, simhash
 from spoorlake.llm.common import table, written
 
+#: Chunks that a packing task remembers: less than alone, as executors carry the memory of the stages before.
+PACKING_CACHE = 200_000
+
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
@@ -30,7 +33,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache=PACKING_CACHE)
 
 
 STAGES = [
