@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import batch, release, small, texts_of, written
+from .common import batch, release, texts_of, written
 
 SHINGLE = 4
 SEED = 42
@@ -123,7 +123,7 @@ def keep_one(docs: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS) -> Dat
     known = _groups(rows, bits, blocks)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
     chosen = rows.join(known.select("fp", "part"), "fp").groupBy("part").agg(F.min(order).alias("c"))
-    chosen = small(written(chosen.select(F.col("c.doc_id").alias("_id"), F.col("c.fp").alias("_fp")), "chosen"))
+    chosen = written(chosen.select(F.col("c.doc_id").alias("_id"), F.col("c.fp").alias("_fp")), "chosen")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     keyed = docs.select(whole, F.col("doc_id").alias("id"), _fingerprint_udf()("text").alias("fp"))
     kept = keyed.join(chosen, F.col("fp").eqNullSafe(F.col("_fp")) & F.col("id").eqNullSafe(F.col("_id")))
