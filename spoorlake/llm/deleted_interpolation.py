@@ -29,14 +29,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, partition_id, texts_of, written
+from .common import batch, partition_id, release, texts_of, written
 
 ORDER = 2
 MODULUS, HELD = 7, 2
 #: One training document in so many teaches the weights.
 FOLDS = 10
 #: Tokens of a block and distinct-key budget of a range, about.
-BLOCK_TOKENS, RANGE_KEYS = 3_000_000, 2_000_000
+BLOCK_TOKENS, RANGE_KEYS = 1_500_000, 1_500_000
 BUCKETS = 65
 #: Quantisation of estimates in the weights' histogram: steps per factor of two.
 STEPS = 4
@@ -105,6 +105,7 @@ def blocks_of(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         for p in (TRAIN, TEACH, TEST):
             if open_blocks[p]["docs"]:
                 yield close(p)
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, _BLOCK_DDL)
 
@@ -163,6 +164,7 @@ def _sent(blocks: DataFrame, order: int, bits: int) -> DataFrame:
                         keys = grams.keys[k][cuts[r] : cuts[r + 1]]
                         rows.append((k, r, row["block"], row["part"], len(keys), _pack(np.diff(keys, prepend=np.uint64(0))), _pack(counts[cuts[r] : cuts[r + 1]])))
                     yield batch(schema, [*zip(*rows)])
+        release()
 
     return blocks.drop("docs").mapInArrow(run, "order int, range long, block long, part int, n long, keys binary, counts binary")
 
@@ -283,7 +285,9 @@ def _scores(joined, order: int, n_docs: int, n_tokens: int, vocabulary: int, wei
         for row in left.to_pylist():
             grams = _Grams(row, order)
             p, history = _estimates(grams, counts, n_docs, n_tokens, vocabulary)
-            mixed = (weights[_bucket(history)] * np.stack(p, 1)).sum(1)
+            bucket, mixed = _bucket(history).astype(np.int8), np.zeros(len(history))
+            for k in range(order + 1):  # one estimate at a time: a block's arrays are what bounds the memory
+                mixed += weights[bucket, k] * p.pop(0)
             c = counts[0][grams.at[0]]
             base = np.log10((c + 1) / (n_tokens + 1 * (vocabulary + 1)))
             add = lambda x: np.add.reduceat(x, grams.starts)
