@@ -26,6 +26,7 @@ def test_nothing_outside_imports_the_subpackage():
 
 def test_queries_match_oracles(spark):
     import duckdb
+    import pandas as pd
 
     con = duckdb.connect()
     for t in ("events", "documents", "conversations", "labels", "customer", "pages", "benchmark"):
@@ -34,5 +35,5 @@ def test_queries_match_oracles(spark):
         got = entry.queries()[name](spark, SF).toPandas()
         want = con.sql(entry.oracle_sql()[name]).df()
         cols = sorted(got.columns)
-        clean = lambda d: sorted(tuple("" if v is None or v != v else str(v).removesuffix(".0") for v in r) for r in d[cols].astype(object).itertuples(index=False))  # noqa: E731,B023
+        clean = lambda d: sorted(tuple("" if pd.isna(v) else str(v).removesuffix(".0") for v in r) for r in d[cols].astype(object).itertuples(index=False))  # noqa: E731,B023
         assert cols == sorted(want.columns) and clean(got) == clean(want), name
