@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, partition_id, release, texts_of, written
 
-ORDER = 2
+ORDER = 3
 MODULUS, HELD = 7, 2
 #: One training document in so many teaches the weights.
 FOLDS = 10

@@ -169,6 +169,15 @@ def test_language_model_is_a_distribution_whatever_the_blocks(spark):
         assert sum(10**s for s in scores.values()) <= 1 + 1e-9
 
 
+def test_language_model_scores_by_two_words_of_history(spark):
+    # The last word follows from the word before the last but one: what a pair sees is an even draw.
+    train = [(i, f"{'ab'[i % 2]} m {'xy'[i % 2]}") for i in range(400)]
+    held = [i for i in range(2000, 2200) if deleted_interpolation.part_of(i) == deleted_interpolation.TEST][:2]
+    docs = spark.createDataFrame([*train, (held[0], "a m x"), (held[1], "a m y")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in deleted_interpolation.score_documents(docs).collect()}
+    assert score[held[0]] > score[held[1]] + 1
+
+
 def test_weights_favour_the_estimate_that_predicts():
     w = deleted_interpolation.learn_weights([(1, 100, [0.01, 0.1, 0.9]), (2, 100, [0.01, 0.5, 0.001])], 2)
     assert w[1].argmax() == 2 and w[2].argmax() == 1 and np.allclose(w.sum(1), 1)
