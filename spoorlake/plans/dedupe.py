@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import split_bucket, split_of
+from ..functions.udfs import nfkc_udf
 from ..operators.components import connected_components
 from ..operators.similarity import containment, jaccard_pairs
 from .registry import query, table
@@ -42,6 +43,7 @@ def part_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", F.sha2("line", 256).alias("part")).distinct().groupBy("part").agg(F.count("*").alias("docs")).where("docs >= 2")
 
 
+# DuckDB has no NFKC: the SQL of near duplicates and contamination holds for texts that are NFKC, as the given ones are.
 _SHINGLES = r"""t AS (SELECT min(doc_id) AS id, count(*) AS copies, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents GROUP BY text),
   f AS (SELECT DISTINCT id, copies, array_to_string(list_slice(w, i, i + least(3, len(w)) - 1), chr(31)) AS s FROM (SELECT *, unnest(generate_series(1, len(w) - least(3, len(w)) + 1)) AS i FROM t WHERE len(w) > 0)),
   n AS (SELECT id, any_value(copies) AS copies, count(*) AS n FROM f GROUP BY 1)"""
@@ -51,7 +53,7 @@ def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a distinct text: smallest doc_id, copies, hashed shingles."""
     docs = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("text").alias("text"))
     hashed = F.transform(T.shingles(F.col("w")), lambda s: F.xxhash64(s))
-    return docs.withColumn("w", T.dedupe_tokens(F.col("text"))).select("id", "copies", F.array_distinct(hashed).alias("features"))
+    return docs.withColumn("text", nfkc_udf()("text")).withColumn("w", T.dedupe_tokens(F.col("text"))).select("id", "copies", F.array_distinct(hashed).alias("features"))
 
 
 @query("near_dup_pairs", "WITH " + _SHINGLES + """ SELECT a.id AS a, b.id AS b, count(*) AS intersection, any_value(na.n + nb.n) - count(*) AS union_size, floor(count(*) * 10000.0 / (any_value(na.n + nb.n) - count(*)))::BIGINT AS similarity_bp
@@ -74,7 +76,7 @@ def near_dup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word 8-grams that each document shares with each benchmark item."""
     def grams(df: DataFrame, name: str) -> DataFrame:
-        df = df.select(name, T.dedupe_tokens(F.col("text")).alias("w")).where(F.size("w") >= 8)
+        df = df.select(name, nfkc_udf()("text").alias("text")).select(name, T.dedupe_tokens(F.col("text")).alias("w")).where(F.size("w") >= 8)
         return df.select(name, F.transform(T.shingles(F.col("w"), 8), lambda s: F.xxhash64(s)).alias("features"))
 
     items = grams(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("item_id", "query")
@@ -91,7 +93,7 @@ def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE sa.text <> sb.text AND (sa.t = sb.t OR (least(length(sa.t), length(sb.t)) >= 0.8 * greatest(length(sa.t), length(sb.t)) AND j.i >= 0.82 * (ma.m + mb.m - j.i)))""")
 def text_near_dup_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among the texts of one conversation: joined on (conversation, shingle)."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("h"), T.normal_form(F.col("text")).alias("t")).where("length(t) >= 32")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("h"), nfkc_udf()("text").alias("t")).withColumn("t", T.normal_form(F.col("t"))).where("length(t) >= 32")
     rows = rows.withColumns({"x": F.transform(T.mixed_shingles(F.col("t")), lambda s: F.xxhash64(s)), "n": F.length("t"), "k": F.sha2("t", 256)}).drop("t")
     side = lambda p: rows.select("conv_id", F.col("turn").alias(p), F.col("h").alias(f"h_{p}"), F.col("k").alias(f"k_{p}"), F.col("n").alias(f"n_{p}"), F.size("x").alias(f"m_{p}"), F.explode("x").alias("s"))
     fits = (F.col("a") < F.col("b")) & (F.col("h_a") != F.col("h_b")) & (F.least("n_a", "n_b") >= 0.8 * F.greatest("n_a", "n_b"))
