@@ -1,6 +1,7 @@
 """Secret scan: candidate strings, and a random forest that removes the false positives.
 
-Candidates are runs of 16 or more token characters with a digit or both cases, found in whole texts. The forest sees a
+Candidates, found in whole texts, are runs of 16 or more token characters with a digit or both cases, values of any
+length and of their own characters after a credential word and a delimiter, and private-key blocks. The forest sees a
 candidate's length, character transitions (between classes, and under a table of letter pairs of the dictionary),
 dictionary coverage, the path (whether it is part of a path or URL, and hints in the row's own path) and the words
 around it. It is grown on labelled findings: a parameter; :data:`LABELLED` is a table made for this library by a fixed
@@ -29,6 +30,12 @@ from pyspark.sql import functions as F
 from .common import batch, release, texts_of
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.~\-]{16,}")
+#: A value after a credential word (or a longer name that ends in one) and a delimiter: quoted up to its quote, else up to white space.
+ASSIGNED = re.compile(
+    r"""(?i)(?:(?<![a-z])key|(?:access|secret|private|api)[_-]?key|credentials?|authorization|pass(?:word|wd|phrase)|pwd|secret|token|bearer|auth)"""
+    r"""["'`]?\s*(?:=>|:=|[=:])\s*(?:(?:basic|bearer)\s+)?(?:"([^"\n]+)"|'([^'\n]+)'|`([^`\n]+)`|([^\s"'`]+))"""
+)
+KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----", re.S)
 MARK = "[SECRET]"
 WINDOW = 48
 THRESHOLD = 0.5
@@ -81,11 +88,11 @@ in_url uuid quoted assigned hot_before cold_before hot_near cold_near cold_path
 def features(text: str, start: int, end: int, path: str | None) -> list[float]:
     """Of the candidate ``text[start:end]`` in a row with ``path``."""
     s = text[start:end]
-    raw = np.frombuffer(s.encode("ascii"), np.uint8)
+    raw = np.frombuffer(s.encode("ascii", "replace"), np.uint8)
     n, kinds, low = len(s), _CLASS[raw], s.lower()
     counts = np.bincount(raw, minlength=128)
     share = counts[counts > 0] / n
-    letters = np.frombuffer(low.encode(), np.uint8).astype(np.int64) - 96
+    letters = np.frombuffer(low.encode("ascii", "replace")[:n].ljust(n, b"?"), np.uint8).astype(np.int64) - 96
     letters[(letters < 1) | (letters > 26)] = 0
     both = (letters[1:] > 0) & (letters[:-1] > 0)
     score = float(_PAIRS[letters[:-1][both], letters[1:][both]].mean()) if both.any() else -5.0
@@ -97,23 +104,40 @@ def features(text: str, start: int, end: int, path: str | None) -> list[float]:
     tail = before.rstrip(" \t\"'`")
     return [
         n, math.log(n), (kinds == 2).mean(), (kinds == 1).mean(), (kinds == 3).mean(), sum(c in "0123456789abcdef" for c in low) / n, len(share) / n,
-        float(-(share * np.log2(share)).sum()), float((kinds[1:] != kinds[:-1]).mean()), score, sum(map(len, found)) / n, max(map(len, found), default=0) / n,
+        float(-(share * np.log2(share)).sum()), float((kinds[1:] != kinds[:-1]).mean()) if n > 1 else 0.0, score, sum(map(len, found)) / n, max(map(len, found), default=0) / n,
         s.count("/"), s.count("."), s.count("-") + s.count("_"), float("://" in before[-10:] or "www." in low or before.endswith("@") or after.startswith("@")),
         float(bool(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))), float(before[-1:] in "\"'`" and after[:1] in "\"'`" and bool(before)), float(tail.endswith(("=", ":", "=>"))),
-        sum(w in close for w in _HOT), sum(w in close for w in _COLD), sum(w in near for w in _HOT), sum(w in near for w in _COLD),
+        sum(any(c.endswith(w) for c in close) for w in _HOT), sum(w in close for w in _COLD), sum(w in near for w in _HOT), sum(w in near for w in _COLD),
         float(bool(hint & {"test", "tests", "example", "examples", "fixture", "docs", "lock"})), float(bool(re.match(r"(ghp_|gho_|sk_|pk_|akia|xox[bp]-|eyj|aiza|glpat-)", low))),
     ]
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Places of runs of token characters, without trailing stops, with a digit or both cases."""
+    """Places, by start and without overlaps: private-key blocks, values after a credential word, and runs of token
+    characters, without trailing stops, with a digit or both cases."""
+    taken = [m.span() for m in KEY_BLOCK.finditer(text)]
+    inside = lambda a, b, spans: any(x < b and a < y for x, y in spans)
+    blocks = len(taken)
+    for m in ASSIGNED.finditer(text):
+        a, b = m.span(m.lastindex)
+        while m.lastindex == 4 and b > a + 1 and text[b - 1] in ".,;)]}>":
+            b -= 1
+        if not inside(a, b, taken[:blocks]):
+            taken.append((a, b))
+    runs, k = [], 0
+    taken.sort()
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         while b > a and text[b - 1] in ".-":
             b -= 1
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k < len(taken) and taken[k][0] < b:
+            continue
         s = text[a:b]
         if len(s) >= 16 and (any(c.isdigit() for c in s) or (s.lower() != s and s.upper() != s and not s.istitle())):
-            yield a, b
+            runs.append((a, b))
+    yield from sorted(taken + runs)
 
 
 def _labelled(n: int = 2400, seed: int = 11) -> list[tuple[str, int, int, str | None, int]]:
@@ -128,14 +152,18 @@ def _labelled(n: int = 2400, seed: int = 11) -> list[tuple[str, int, int, str |
         value = r.choice([
             lambda: pick(hexa, r.choice([32, 40, 48, 64])), lambda: pick(base, r.randint(20, 64)), lambda: pick(base + "+/", r.randint(24, 64)) + "=" * r.randint(0, 2),
             lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(base, 36), lambda: "sk_live_" + pick(base, 24),
+            lambda: pick(base, 4) + pick(base + "!@#$%&*!@#$%&*", r.randint(4, 12)), lambda: r.choice(plain).title() + pick(string.digits, r.randint(2, 4)) + pick(base, r.randint(2, 5)), lambda: pick(string.ascii_lowercase, 16),
             lambda: "eyJ" + pick(base, 20) + "." + pick(base, 40) + "." + pick(base + "-_", 30), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(base, 24),
         ])()
-        name = r.choice(_HOT)
+        if r.random() < 0.04:
+            kind, body = r.choice(["", "RSA ", "EC ", "OPENSSH "]), "\n".join(pick(base + "+/", 64) for _ in range(r.randint(2, 20)))
+            return "", f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----", ""
+        name = r.choice(["", "", "db_", "my", "app-"]) + r.choice(_HOT)
         before, after = r.choice([(f'{name} = "', '"'), (f"{name}='", "'"), (f"{name}: ", ""), (f'"{name}": "', '"'), (f"{name}=", ""), (f"Authorization: {name} ", ""), (f"the {name} is ", "")])
         return before, value, after
 
     def other() -> tuple[str, str, str]:
-        kind = r.randrange(11)
+        kind = r.randrange(13)
         if kind == 0:
             return f"{r.choice(_COLD)} ", pick(hexa, r.choice([32, 40, 64])), ""
         if kind == 1:
@@ -156,6 +184,13 @@ def _labelled(n: int = 2400, seed: int = 11) -> list[tuple[str, int, int, str |
             return "", f"{r.choice(plain)}.{r.choice(plain)}{r.randrange(100)}.{r.choice(plain)}.example.com", ""
         if kind == 9:
             return f"{r.randrange(100)}@", f"mail{r.randrange(10)}.{r.choice(plain)}.example.com", ""
+        if kind > 10:
+            value = r.choice([
+                lambda: r.choice(plain), lambda: r.choice(plain) + r.choice(["_", "-", "."]) + r.choice(plain), lambda: "${" + r.choice(plain).upper() + "}", lambda: f"<{r.choice(plain)}>", lambda: r.choice("*x.") * r.randint(3, 12),
+                lambda: r.choice("changeme null none true false required optional string hidden secret password str None".split()), lambda: f"os.environ[{r.choice(plain).upper()}]", lambda: f"get_{r.choice(plain)}()", lambda: str(r.randrange(100)),
+            ])()
+            before, after = r.choice([("{} = \"", '"'), ("{}='", "'"), ("{}: ", ""), ("{}=", ""), ("{} = ", "")])
+            return before.format(r.choice(["", "", "db_", "my", "app-"]) + r.choice(_HOT)), value, after
         return "", "-".join(r.choice(plain) for _ in range(r.randint(3, 6))) + f"-{r.randrange(100)}", ""
 
     out = []
