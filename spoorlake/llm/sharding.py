@@ -7,7 +7,7 @@ its quota, and groups are thinned to that share by a hash, so that whole groups
 each shard keeps its first quota of rows, linked rows before lone ones, and the rows beyond fill the shards that have
 room; so counts differ by one at most, and lone rows pay for the balance.
 
-Groups larger than half a quota are split first by a hash of the row (one group may hold a third of all rows). Ranks
+Groups larger than a whole quota are split first by a hash of the row (one group may hold a third of all rows). Ranks
 come from counts per bucket, never from a window over a whole shard.
 
 Defined results: null text counts as empty (size 8, crc32 0) and is a neighbour of empty texts; rows are told apart by
@@ -70,10 +70,10 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, load:
     quota = [n // shards + (j < n % shards) for j in range(shards)]
     if not n:
         return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    half = max(1, (n // shards) // 2)
+    whole = max(1, n // shards)
     groups = written(rows.where("link IS NOT NULL").groupBy("link").count().where("count > 1"), "groups")
     linked = rows.join(groups, "link", "left")  # skewed links: AQE splits, the group side is one row a link
-    parts = F.ceil(F.col("count") / half)
+    parts = F.ceil(F.col("count") / whole)
     hub = F.when(F.col("count").isNotNull(), F.xxhash64("link", F.pmod(F.xxhash64("row"), parts)))
     state = linked.select("row", hub.alias("hub"), F.pmod(F.xxhash64("row", F.lit("start")), F.lit(shards)).cast("int").alias("shard"))
     state = written(state, "state")

@@ -204,6 +204,13 @@ def test_sharding_is_even_gapless_and_keeps_groups(docs, none, spark):
     assert sum(whole) > 0.9 * len(whole)
 
 
+def test_a_group_that_fits_a_shard_stays_whole(spark):
+    rows = spark.createDataFrame([(i, "large" if i < 30 else f"t{i}") for i in range(960)], "doc_id long, text string")
+    got = sharding.shard_documents(rows).collect()
+    assert len({r.shard for r in got if r.doc_id < 30}) == 1
+    assert set(collections.Counter(r.shard for r in got).values()) == {40}
+
+
 def test_flows_respect_quotas():
     share = sharding.allowed({(0, 1): 10, (1, 0): 2, (2, 1): 8}, [12, 5, 9], [9, 9, 9])
     assert 5 + 10 * share[0, 1] + 8 * share[2, 1] - 2 * share[1, 0] <= 9 + 1e-6 and share[1, 0] <= 1
