@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import written
+from .durable import erased, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,17 +25,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(lowest.select("u", "m")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges point to centres of stars: no node has two, and no centre points on. As b < a throughout, a
+    centre is then its component's smallest node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("points")).union(edges.select("b", F.lit(0)))
+    twice = ends.groupBy("node").agg(F.sum("points").alias("n"), F.min("points").alias("least")).where("n > 1 OR (n = 1 AND least = 0)")
+    return twice.isEmpty() and edges.where("a < b").isEmpty()
+
+
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """``node, component`` (its smallest node) for every node of ``edges`` (two columns of one orderable type; rows
     with a null and loops are ignored, so a node that has only loops doesn't appear)."""
     edges = edges.toDF("a", "b").where("a <> b").distinct()
-    edges, mark = written(edges, "edges"), None
+    edges = written(edges, "edges")
     for _ in range(rounds):
-        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b", "a").cast("long"))).first())
-        if now == mark or not now[0]:
+        if _settled(edges):
             break
-        mark = now
-        edges = written(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        erased(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -1,4 +1,7 @@
 import ast
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import __spark_entry__ as entry
@@ -24,6 +27,26 @@ def test_nothing_outside_imports_the_subpackage():
             assert not any("llm" in n.split(".") for n in names), path
 
 
+def test_the_rest_stands_without_the_training_data_part(tmp_path):
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    for path in (copy / "spoorlake/llm", copy / "tests/llm"):
+        shutil.rmtree(path, ignore_errors=True)
+
+    def run(*args):
+        done = subprocess.run([sys.executable, *args], cwd=copy, capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, done.stdout + done.stderr
+        return done.stdout
+
+    names = "import __spark_entry__ as e; print(*sorted(e.queries())); assert set(e.oracle_sql()) <= set(e.queries())"
+    mine = {n for n in entry.queries() if not (n == "pipeline" or n.startswith("op") and n[2].isdigit())}
+    for removed in (None, copy / "corpus_pipeline.py"):  # with and without the pipeline's file
+        if removed:
+            removed.unlink(missing_ok=True)
+        assert set(run("-c", names).split()) == mine
+    run("-m", "pytest", "--collect-only", "-q", "tests")
+
+
 def test_queries_match_oracles(spark):
     import duckdb
     import pandas as pd
