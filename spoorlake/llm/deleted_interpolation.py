@@ -6,20 +6,25 @@ held-out tenth of the training documents, whose counts are deleted from the esti
 counts of all training documents.
 
 The corpus never leaves the cluster and is counted whole. A task turns its texts into blocks (documents, word codes,
-64-bit word hashes). Blocks send their sorted distinct n-gram keys to key ranges; a range adds up the counts and sends
-them back in each block's own order; so what is shuffled is one key per block and distinct n-gram, not one per
-occurrence, and a frequent n-gram is no larger than a rare one. Weights are learned from a histogram of estimate pairs
-whose size doesn't depend on the corpus.
+64-bit word hashes). For one order after the other, blocks send their sorted distinct n-gram keys to key ranges; a range
+adds up the counts and sends them back in each block's own order; so what is shuffled is one key per block and distinct
+n-gram, not one per occurrence, a frequent n-gram is no larger than a rare one, and the keys of one order are off the
+disk before the next order's are sent. Weights are learned from a histogram of quantised estimates with their means.
+
+A message has about ``block_tokens * range_keys / tokens`` keys: some 300 at 30 GB of text with the sizes below, which
+suit executors of 3 GB. Larger executors should be given larger blocks and ranges.
 
 Defined results: null or empty text is the one token ``end``; a null ``doc_id`` is treated as the empty id text (a
 training document); repeated rows count and are scored as often as they occur; without training documents N = V = 0
-and every estimate is uniform. Distinct n-grams are told apart by 64-bit hashes.
+and every estimate is uniform. Distinct n-grams are told apart by 64-bit hashes: among a
+million million distinct n-grams, one in ten million is expected to be taken for another. A single text is never cut, so
+a task holds the longest text of the table at least.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, partition_id, release, texts_of, written
+from .common import batch, erased, partition_id, release, texts_of, written
 
 ORDER = 3
 MODULUS, HELD = 7, 2
@@ -39,7 +44,9 @@ FOLDS = 10
 BLOCK_TOKENS, RANGE_KEYS = 1_500_000, 1_500_000
 BUCKETS = 65
 #: Quantisation of estimates in the weights' histogram: steps per factor of two.
-STEPS = 4
+STEPS = 1
+#: Partitions for each range and each block: so many that a task seldom gets two or three of them.
+SPREAD = 8, 4
 
 TRAIN, TEACH, TEST = 0, 1, 2
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -111,30 +118,50 @@ def blocks_of(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
 
 
 class _Grams:
-    """The n-gram keys of a block: per order the sorted distinct keys, each token's place among them, and counts."""
+    """The n-grams of a block: per order each token's place among the sorted distinct keys."""
 
     def __init__(self, row: dict, order: int):
+        self._of(row)
+        hashes, codes = self.hashes, self.codes
+        by = np.argsort(hashes, kind="stable")
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by), dtype=np.int32)
+        self.at = [place[codes]]
+        for key in self._keys(order):
+            _, at = np.unique(key, return_inverse=True)
+            self.at.append(at.reshape(-1).astype(np.int32))
+        del self.hashes, self.codes
+
+    @classmethod
+    def distinct(cls, row: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct keys of ``k + 1`` words, and their counts."""
+        self = cls.__new__(cls)
+        self._of(row)
+        if not k:
+            by = np.argsort(self.hashes, kind="stable")
+            return self.hashes[by], np.bincount(self.codes, minlength=len(by))[by]
+        for key in self._keys(k + 1):
+            last = key
+        return np.unique(last, return_counts=True)
+
+    def _of(self, row: dict) -> None:
         words, codes = _unpack(row["words"], "<u8", row["n_words"]), _unpack(row["codes"], "<u4", row["tokens"])
         lengths = np.array(row["lengths"], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         self.first = np.zeros(len(codes), bool)
         self.first[self.starts] = True
-        hashes = np.concatenate((np.array([_END]), words))
-        by = np.argsort(hashes, kind="stable")
-        place = np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
-        self.keys, self.at = [hashes[by]], [place[codes]]
-        self.counts = [np.bincount(self.at[0], minlength=len(by))]
-        key, start = hashes[codes], _START
+        self.hashes, self.codes = np.concatenate((np.array([_END]), words)), codes
+
+    def _keys(self, order: int) -> Iterator[np.ndarray]:
+        """Each token's key of two words, of three, up to ``order``."""
+        own = self.hashes[self.codes]
+        key, start = own, _START
         for _ in range(1, order):
             before = np.empty_like(key)
             before[1:], before[self.first] = key[:-1], start
             with np.errstate(over="ignore"):
-                key, start = _mix(before, hashes[codes]), _mix(start, _START)
-            keys, at, counts = np.unique(key, return_inverse=True, return_counts=True)
-            self.keys.append(keys)
-            self.at.append(at.reshape(-1))
-            self.counts.append(counts)
+                key, start = _mix(before, own), _mix(start, _START)
+            yield key
 
 
 def _mix(a, b):
@@ -149,48 +176,49 @@ def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-def _sent(blocks: DataFrame, order: int, bits: int) -> DataFrame:
-    schema = pa.schema([("order", pa.int32()), ("range", pa.int64()), ("block", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+def _sent(blocks: DataFrame, k: int, bits: int) -> DataFrame:
+    """Each block's keys of ``k + 1`` words, cut into ranges."""
+    schema = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                grams = _Grams(row, order)
-                for k in range(order):
-                    cuts, rows = _cuts(grams.keys[k], bits), []
-                    counts = grams.counts[k].astype("<u4") if row["part"] != TEST else np.zeros(len(grams.keys[k]), "<u4")
-                    for r in np.flatnonzero(np.diff(cuts)).tolist():
-                        keys = grams.keys[k][cuts[r] : cuts[r + 1]]
-                        rows.append((k, r, row["block"], row["part"], len(keys), _pack(np.diff(keys, prepend=np.uint64(0))), _pack(counts[cuts[r] : cuts[r + 1]])))
-                    yield batch(schema, [*zip(*rows)])
+                keys, counts = _Grams.distinct(row, k)
+                cuts, counts, rows = _cuts(keys, bits), counts.astype("<u4"), []
+                for r in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = slice(cuts[r], cuts[r + 1])
+                    sums = b"" if row["part"] == TEST else _pack(counts[own])
+                    rows.append((r, row["block"], row["part"], cuts[r + 1] - cuts[r], _pack(np.diff(keys[own], prepend=np.uint64(0))), sums))
+                yield batch(schema, [*zip(*rows)])
         release()
 
-    return blocks.drop("docs").mapInArrow(run, "order int, range long, block long, part int, n long, keys binary, counts binary")
+    return blocks.drop("docs").mapInArrow(run, "range long, block long, part int, n long, keys binary, counts binary")
 
 
-_BACK = pa.schema([("block", pa.int64()), ("order", pa.int32()), ("range", pa.int64()), ("n", pa.int64()), ("seen", pa.binary()), ("taught", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64()), ("total_taught", pa.int64())])
-_BACK_DDL = "block long, order int, range long, n long, seen binary, taught binary, total long, distinct long, total_taught long"
+_BACK = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("n", pa.int64()), ("seen", pa.binary()), ("taught", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64()), ("total_taught", pa.int64())])
+_BACK_DDL = "block long, range long, n long, seen binary, taught binary, total long, distinct long, total_taught long"
 
 
 def _add_up(key: tuple, table: pa.Table) -> pa.Table:
     """All blocks' keys of one range: totals of the training documents, and of those that teach the weights."""
-    order, range_ = (k.as_py() for k in key)
+    range_ = key[0].as_py()
     rows = table.select(["block", "part", "n", "keys", "counts"]).to_pylist()
     keys = np.concatenate([np.cumsum(_unpack(r["keys"], "<u8", r["n"]), dtype=np.uint64) for r in rows])
-    counts = np.concatenate([_unpack(r["counts"], "<u4", r["n"]) for r in rows])
+    counts = np.concatenate([np.zeros(r["n"], "<u4") if r["part"] == TEST else _unpack(r["counts"], "<u4", r["n"]) for r in rows])
     teaches = np.concatenate([np.full(r["n"], r["part"] == TEACH) for r in rows])
     distinct, at = np.unique(keys, return_inverse=True)
-    at = at.reshape(-1)
-    seen = np.bincount(at, counts, len(distinct)).astype(np.int64)
-    taught = np.bincount(at, counts * teaches, len(distinct)).astype(np.int64)
-    out, start = [(-1, order, range_, 0, b"", b"", int(seen.sum()), int((seen > 0).sum()), int(taught.sum()))], 0
+    at, n = at.reshape(-1).astype(np.int32), len(distinct)
+    del keys, distinct
+    seen = np.bincount(at, counts, n).astype(np.int64)
+    taught = np.bincount(at, counts * teaches, n).astype(np.int64)
+    out, start = [(-1, range_, 0, b"", b"", int(seen.sum()), int((seen > 0).sum()), int(taught.sum()))], 0
     for r in rows:
         mine = at[start : start + r["n"]]
         start += r["n"]
         # Only blocks that teach need the deleted counts.
         deleted = _pack(taught[mine].astype("<u4")) if r["part"] == TEACH else b""
-        out.append((r["block"], order, range_, r["n"], _pack(seen[mine].astype("<u8")), deleted, 0, 0, 0))
+        out.append((r["block"], range_, r["n"], _pack(seen[mine].astype("<u8")), deleted, 0, 0, 0))
     return pa.Table.from_batches([batch(_BACK, [*zip(*out)])])
 
 
@@ -219,16 +247,13 @@ def _counts(table: pa.Table, order: int, column: str) -> list[np.ndarray]:
     return [np.concatenate([_unpack(r[column], kind, r["n"]) for r in rows if r["order"] == k]).astype(np.int64) for k in range(order)]
 
 
-def learn_weights(histogram: list[tuple[int, int, list[float]]], order: int = ORDER, rounds: int = 60, prior: float = 4.0) -> np.ndarray:
-    """Weights (bucket, estimate) by expectation-maximisation on ``(bucket, events, mean estimates)`` rows. ``prior``
-    events with the weights of all buckets together steady buckets that have few events."""
-    overall = np.full(order + 1, 1 / (order + 1))
+def learn_weights(bucket: np.ndarray, n: np.ndarray, p: np.ndarray, rounds: int = 60, prior: float = 4.0) -> np.ndarray:
+    """Weights (bucket, estimate) by expectation-maximisation on buckets, numbers of events and their mean estimates
+    (events x estimates). ``prior`` events with the weights of all buckets together steady buckets that have few events."""
+    overall = np.full(p.shape[1], 1 / p.shape[1])
     weights = np.tile(overall, (BUCKETS, 1))
-    if not histogram:
+    if not len(n):
         return weights
-    bucket = np.array([h[0] for h in histogram])
-    n = np.array([h[1] for h in histogram], float)
-    p = np.array([h[2] for h in histogram], float)
     for _ in range(rounds):
         share = overall * p
         overall = (share / share.sum(1, keepdims=True) * n[:, None]).sum(0) / n.sum()
@@ -244,11 +269,11 @@ def learn_weights(histogram: list[tuple[int, int, list[float]]], order: int = OR
     return weights
 
 
-def _quantised(p: np.ndarray) -> np.ndarray:
-    return np.where(p > 0, 1 + np.round(-STEPS * np.log2(np.maximum(p, 2.0**-60))).astype(np.int64), 0)
+def _quantised(p: np.ndarray, steps: int) -> np.ndarray:
+    return np.where(p > 0, 1 + np.round(-steps * np.log2(np.maximum(p, 2.0**-60))).astype(np.int64), 0)
 
 
-def _histogram(joined, order: int, n_docs: int, n_tokens: int, vocabulary: int) -> DataFrame:
+def _histogram(joined, order: int, n_docs: int, n_tokens: int, vocabulary: int, steps: int) -> DataFrame:
     ddl = "bucket long, cell long, n long, sums array<double>"
     schema = pa.schema([("bucket", pa.int64()), ("cell", pa.int64()), ("n", pa.int64()), ("sums", pa.list_(pa.float64()))])
 
@@ -260,10 +285,12 @@ def _histogram(joined, order: int, n_docs: int, n_tokens: int, vocabulary: int)
         for row in left.to_pylist():
             p, history = _estimates(grams := _Grams(row, order), [a - b for a, b in zip(seen, taught)], n_docs, n_tokens, vocabulary)
             bucket = _bucket(history)
-            cell = np.zeros(len(bucket), np.int64)
+            cell = bucket.astype(np.uint64)
             for x in p[1:]:
-                cell = cell * (64 * STEPS) + _quantised(x)
-            _, at, n = np.unique(bucket * (1 << 40) + cell, return_inverse=True, return_counts=True)
+                with np.errstate(over="ignore"):  # a hash, for high orders and many steps
+                    cell = cell * np.uint64(64 * steps) + _quantised(x, steps).astype(np.uint64)
+            cell = cell.view(np.int64)
+            _, at, n = np.unique(cell, return_inverse=True, return_counts=True)
             one = np.zeros(len(n), np.int64)
             at = at.reshape(-1)
             one[at] = np.arange(len(at))
@@ -298,21 +325,30 @@ def _scores(joined, order: int, n_docs: int, n_tokens: int, vocabulary: int, wei
     return joined.applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS, range_keys: int = RANGE_KEYS) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS, range_keys: int = RANGE_KEYS, steps: int = STEPS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``."""
     blocks = written(blocks_of(docs, block_tokens), "blocks")
-    sums = {r["part"]: r for r in blocks.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.sum(F.size("docs")).alias("docs")).collect()}
+    sums = {r["part"]: r for r in blocks.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.sum("n_words").alias("words"), F.sum(F.size("docs")).alias("docs"), F.count("*").alias("blocks")).collect()}
     get = lambda p, k: sums[p][k] if p in sums else 0
-    bits = max(1, int(np.ceil(np.log2(max(1, sum(get(p, "tokens") for p in (TRAIN, TEACH, TEST)) / range_keys)))))
-    sent = _sent(blocks, order, bits)
-    back = written(sent.groupBy("order", "range").applyInArrow(_add_up, _BACK_DDL), "counts")
-    total = back.where("block = -1 AND order = 0").agg(F.sum("distinct")).first()[0] or 0
-    back = back.where("block >= 0").select("block", "order", "range", "n", "seen", "taught")
+    back, vocabulary = None, 0
+    for k in range(order):
+        keys = sum(get(p, "tokens" if k else "words") for p in (TRAIN, TEACH, TEST))
+        bits = max(1, math.ceil(math.log2(max(1, keys / range_keys))))
+        counts = written(_sent(blocks, k, bits).repartition(SPREAD[0] << bits, "range").groupBy("range").applyInArrow(_add_up, _BACK_DDL), f"counts{k + 1}")
+        if not k:
+            vocabulary = counts.where("block = -1").agg(F.sum("distinct")).first()[0] or 0
+        mine = counts.where("block >= 0").select("block", F.lit(k).alias("order"), "range", "n", "seen", "taught")
+        back = mine if back is None else back.union(mine)
     n_docs, n_tokens = get(TRAIN, "docs") + get(TEACH, "docs"), get(TRAIN, "tokens") + get(TEACH, "tokens")
     teaching = blocks.where(F.col("part") == TEACH)
-    joined = teaching.groupBy("block").cogroup(back.where(F.octet_length("taught") > 0).groupBy("block"))
-    cells = _histogram(joined, order, get(TRAIN, "docs"), get(TRAIN, "tokens"), total).groupBy("bucket", "cell")
-    cells = cells.agg(F.sum("n").alias("n"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(order + 1)])
-    histogram = [(r["bucket"], r["n"], [r[f"s{i}"] / r["n"] for i in range(order + 1)]) for r in cells.collect()]
-    weights = learn_weights(histogram, order)
-    return _scores(blocks.groupBy("block").cogroup(back.groupBy("block")), order, n_docs, n_tokens, total, weights)
+    spread = max(1, SPREAD[1] * sum(get(p, "blocks") for p in (TRAIN, TEACH, TEST)))
+    meet = lambda x, y: x.repartition(spread, "block").groupBy("block").cogroup(y.repartition(spread, "block").groupBy("block"))
+    joined = meet(teaching, back.where(F.octet_length("taught") > 0))
+    cells = _histogram(joined, order, get(TRAIN, "docs"), get(TRAIN, "tokens"), vocabulary, steps).groupBy("bucket", "cell")
+    cells = written(cells.agg(F.sum("n").alias("n"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(order + 1)]), "cells")
+    found = cells.toArrow()  # a few thousand rows: estimates are quantised
+    erased(cells)
+    n = found.column("n").to_numpy().astype(float)
+    means = np.stack([found.column(f"s{i}").to_numpy() for i in range(order + 1)], 1) / n[:, None]
+    weights = learn_weights(found.column("bucket").to_numpy(), n, means)
+    return _scores(meet(blocks, back), order, n_docs, n_tokens, vocabulary, weights)

@@ -178,11 +178,102 @@ def test_language_model_scores_by_two_words_of_history(spark):
     assert score[held[0]] > score[held[1]] + 1
 
 
+def test_a_held_out_copy_of_a_training_text_scores_above_a_fresh_one(spark):
+    rng = np.random.default_rng(8)
+    made = lambda: " ".join(f"w{int(x)}" for x in rng.integers(0, 60, 30))
+    part = deleted_interpolation.part_of
+    held = [i for i in range(3000) if part(i) == deleted_interpolation.TEST][:40]
+    train = [(i, made()) for i in range(3000, 4000) if part(i) != deleted_interpolation.TEST]
+    rows = train + [(d, train[i][1] if i % 2 else made()) for i, d in enumerate(held)]
+    score = {r.doc_id: r.score for r in deleted_interpolation.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(score[d] for d in held[1::2]) > max(score[d] for d in held[::2])
+
+
 def test_weights_favour_the_estimate_that_predicts():
-    w = deleted_interpolation.learn_weights([(1, 100, [0.01, 0.1, 0.9]), (2, 100, [0.01, 0.5, 0.001])], 2)
+    w = deleted_interpolation.learn_weights(np.array([1, 2]), np.array([100.0, 100.0]), np.array([[0.01, 0.1, 0.9], [0.01, 0.5, 0.001]]))
     assert w[1].argmax() == 2 and w[2].argmax() == 1 and np.allclose(w.sum(1), 1)
 
 
+class BruteModel:
+    """Deleted interpolation by dictionaries of tuples, token by token."""
+
+    def __init__(self, rows, order):
+        self.order = order
+        self.texts = [[w for w in [*WORDS.findall(low(t)), "</s>"]] for _, t in rows]
+        self.parts = [deleted_interpolation.part_of(d) for d, _ in rows]
+        of = lambda parts: [t for t, p in zip(self.texts, self.parts) if p in parts]
+        train, teach = of({deleted_interpolation.TRAIN}), of({deleted_interpolation.TEACH})
+        self.vocabulary = len({w for t in train + teach for w in t})
+        events = []
+        self.count(train)
+        for t in teach:
+            events += [*zip(*self.estimates(t))]
+        self.weights = self.learn(events)
+        self.count(train + teach)
+
+    def count(self, texts):
+        self.c, self.n_docs, self.n_tokens = collections.Counter(), len(texts), sum(map(len, texts))
+        for t in texts:
+            padded = ["<s>"] * (self.order - 1) + t
+            for i in range(len(t)):
+                for k in range(self.order):
+                    self.c[tuple(padded[i + self.order - 1 - k : i + self.order])] += 1
+
+    def estimates(self, text):
+        padded, out, buckets = ["<s>"] * (self.order - 1) + text, [], []
+        for i in range(len(text)):
+            p = [1 / (self.vocabulary + 1)]
+            for k in range(self.order):
+                gram = tuple(padded[i + self.order - 1 - k : i + self.order])
+                h = self.n_tokens if not k else self.n_docs if i == 0 else self.c[tuple(padded[i + self.order - 1 - k : i + self.order - 1])]
+                p.append(self.c[gram] / h if h else p[-1])
+            out.append(p)
+            buckets.append(h.bit_length())
+        return out, buckets
+
+    def learn(self, events, rounds=60, prior=4.0):
+        mean = [1 / (self.order + 1)] * (self.order + 1)
+        for _ in range(rounds):
+            total = [0.0] * (self.order + 1)
+            for p, _ in events:
+                s = sum(a * b for a, b in zip(mean, p))
+                total = [t + a * b / s for t, a, b in zip(total, mean, p)]
+            mean = [t / sum(total) for t in total]
+        mean = [max(m, 1e-9) for m in mean]
+        mean = [m / sum(mean) for m in mean]
+        weights = collections.defaultdict(lambda: mean)
+        for bucket in {b for _, b in events}:
+            w = mean
+            for _ in range(rounds):
+                total = [prior * m for m in mean]
+                for p, b in events:
+                    if b == bucket:
+                        s = sum(x * y for x, y in zip(w, p))
+                        total = [t + x * y / s for t, x, y in zip(total, w, p)]
+                w = [t / sum(total) for t in total]
+            weights[bucket] = w
+        return weights
+
+    def score(self, text):
+        return sum(math.log10(sum(a * b for a, b in zip(self.weights[bucket], p))) for p, bucket in zip(*self.estimates(text)))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_scores_equal_brute_force(spark, docs, order):
+    rng = np.random.default_rng(order)
+    made = [(100 + i, " ".join(f"w{min(int(x), 30)}" for x in rng.zipf(1.4, 1 + i % 25))) for i in range(250)]
+    rows = [*all_rows(docs), *made, *made[:5]]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    model = BruteModel(rows, order)
+    want = sorted((str(d), model.score(t)) for (d, _), t in zip(rows, model.texts))
+    exact = deleted_interpolation.score_documents(table, order=order, block_tokens=300, range_keys=100, steps=4096).collect()
+    got = sorted((str(r.doc_id), r.score) for r in exact)
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-3)
+    # The production quantisation moves the weights a little.
+    coarse = sorted((str(r.doc_id), r.score) for r in deleted_interpolation.score_documents(table, order=order).collect())
+    assert np.allclose([g[1] for g in coarse], [w[1] for w in want], rtol=2e-2)
+
+
 def test_sharding_is_even_gapless_and_keeps_groups(docs, none, spark):
     got = sharding.shard_documents(docs, shards=4).collect()
     by = collections.defaultdict(list)
