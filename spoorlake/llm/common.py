@@ -1,4 +1,4 @@
-"""Shared helpers: durable intermediate tables, size checks before broadcasting, Arrow row blocks."""
+"""Shared helpers: durable intermediate tables, Arrow row blocks."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.durable import BROADCAST_ROWS, shared_dir, small, written
+from ..operators.durable import erased, shared_dir, written
 
-__all__ = ["BROADCAST_ROWS", "batch", "partition_id", "release", "shared_dir", "small", "table", "texts_of", "written"]
+__all__ = ["batch", "erased", "partition_id", "release", "shared_dir", "table", "texts_of", "written"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, partition_id, release, small, texts_of, written
+from .common import batch, partition_id, release, texts_of, written
 
 CAPACITY = 4096
 END_ID = 1
 #: Chunks whose ids a task remembers (about 200 bytes each); they are forgotten at its end, as workers live on.
 CACHE = 500_000
-#: Pieces of one length that one task ranks, about.
-BUCKET_ROWS = 200_000
 
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
@@ -219,7 +217,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "first", F.sum("count").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     )
     firsts = written(firsts.select("length", "task", F.coalesce("first", F.lit(0)).alias("first")), "firsts")
-    ranked = rows.withColumn("r", F.row_number().over(inner) - 1).join(small(firsts), ["length", "task"])
+    ranked = rows.withColumn("r", F.row_number().over(inner) - 1).join(firsts, ["length", "task"])
     ranked = ranked.withColumn("rank", F.col("first") + F.col("r"))
     # The run of a rank: runs of a length are consecutive in rank, so a range of ranks finds its run by array search.
     of_length: dict[int, list] = defaultdict(list)

@@ -4,7 +4,8 @@ A logistic regression on counts of a whole text (fitted on a bounded sample of l
 likelihood ratio. Sites are two levels, host and path within host: the expected good documents of a site are summed over
 all its documents, and its rate is shrunk towards the level above (path to host, host to the whole corpus) by a prior
 whose weight follows from the spread between sites (method of moments). Posterior log odds = likelihood ratio + log odds
-of the path's shrunk rate. Sites are grouped aggregates with map-side sums, so one site may hold any share of all rows.
+of the path's shrunk rate. Sites are grouped aggregates with map-side sums, so one site may hold any share of all rows;
+where rates go back to the rows, a hash of the row deals a site over ``SALTS`` keys.
 
 Defined results: null and empty texts are judged as texts without words; null host or path is a site of its own; without
 labels of both kinds the likelihood ratio is zero and every document is kept (posterior one half or the site's); labels
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, release, small, texts_of, written
+from .common import batch, erased, release, texts_of, written
 
 #: Labelled rows that fit the classifier at most: those with the smallest hashes of their id.
 SAMPLE = 20_000
@@ -30,6 +31,8 @@ THRESHOLD = 0.5
 PRIOR = (2.0, 1000.0)
 #: Bound of the classifier's log likelihood ratio: no text alone is beyond all doubt.
 MOST = 12.0
+#: Keys that the rows of one site are dealt over when its rate is joined.
+SALTS = 16
 
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t\n\v\f\r",
@@ -94,14 +97,26 @@ class Classifier:
         return np.clip(self._inputs(x) @ self.w - self.prior, -MOST, MOST)
 
 
+def _labels(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
+
 def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """From at most ``sample`` rows of :func:`feature_rows` that have a label ``quality`` of 0 or 1."""
-    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    joined = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "quality").limit(sample)
+    joined = rows.join(_labels(labels), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").select("x", "quality").limit(sample)
     found = joined.collect()
     return Classifier(np.array([r[0] for r in found], float).reshape(len(found), len(NAMES)), np.array([r[1] for r in found], float))
 
 
+def fit_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
+    """The same from ``docs``. The labels to use are chosen first, by ids alone; they are ``sample`` rows at most, so
+    they are sent to the texts, and only labelled texts are looked at."""
+    known = _labels(labels).join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = docs.join(F.broadcast(written(known, "known").select("doc_id")), "doc_id", "left_semi")
+    nothing = F.lit(None).cast("string")
+    return fit(feature_rows(chosen.select("doc_id", "text", nothing.alias("h"), nothing.alias("p")), "h", "p"), labels, sample)
+
+
 def _ratio_udf(classifier: Classifier):
     @F.pandas_udf("double")
     def ratio(texts: pd.Series) -> pd.Series:
@@ -151,26 +166,32 @@ def _posterior() -> Column:
 
 
 def _with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
-    rates = small(written(rates.withColumnsRenamed({"host": "_h", "path": "_p"}), "rates"))
-    return rows.join(rates, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")), "left").drop("_h", "_p")
+    """``rows`` (host, path, salt) with their site's rates. Spark broadcasts the sites if they turn out to be few."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s")
+    rates = written(rates, "rates").select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_rate", "path_rate", salts)
+    same = F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")) & (F.col("salt") == F.col("_s"))
+    return rows.join(rates, same, "left").drop("_h", "_p", "_s", "salt")
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, host, path, ratio, host_rate, path_rate, posterior, keep`` for every row of ``docs``."""
     rows = written(feature_rows(docs, host, path), "features")
     classifier = fit(rows, labels, sample)
-    scored = written(rows.select("doc_id", "host", "path", _ratio_of_features(classifier)("x").alias("ratio")), "ratios")
+    scored = written(rows.select("doc_id", "host", "path", F.pmod(F.xxhash64("doc_id", "x"), F.lit(SALTS)).cast("int").alias("salt"), _ratio_of_features(classifier)("x").alias("ratio")), "ratios")
+    erased(rows)
     _, rates = site_rates(scored)
     out = _with_rates(scored, rates).withColumn("posterior", _posterior())
     return out.select("doc_id", "host", "path", "ratio", "host_rate", "path_rate", "posterior", (F.col("posterior") >= threshold).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that :func:`classify` keeps, with their columns. Texts aren't shuffled: the classifier runs
-    again where they are, and only the sites' rates are joined."""
-    rows = written(feature_rows(docs, host, path), "features")
-    classifier = fit(rows, labels, sample)
-    _, rates = site_rates(rows.select("host", "path", _ratio_of_features(classifier)("x").alias("ratio")))
+    """The rows of ``docs`` that :func:`classify` keeps, with their columns. Each text's ratio is computed once and
+    stored with its row; texts are shuffled only if there are too many sites to broadcast."""
+    classifier = fit_texts(docs, labels, sample)
     # Own names beside the columns of docs, whatever those are called.
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), _ratio_udf(classifier)("text").alias("ratio"))
-    return _with_rates(inner, rates).where(_posterior() >= threshold).select("doc.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int").alias("salt")
+    inner = docs.select(whole, F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), salt, _ratio_udf(classifier)("text").alias("ratio"))
+    stored = written(inner, "ratios")
+    _, rates = site_rates(stored.select("host", "path", "ratio"))
+    return _with_rates(stored, rates).where(_posterior() >= threshold).select("doc.*")

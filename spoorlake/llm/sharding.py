@@ -8,7 +8,8 @@ each shard keeps its first quota of rows, linked rows before lone ones, and the
 room; so counts differ by one at most, and lone rows pay for the balance.
 
 Groups larger than a whole quota are split first by a hash of the row (one group may hold a third of all rows). Ranks
-come from counts per bucket, never from a window over a whole shard.
+come from counts per bucket, never from a window over a whole shard; a bucket has whole groups, or a part of one group
+that is larger than a bucket.
 
 Defined results: null text counts as empty (size 8, crc32 0) and is a neighbour of empty texts; rows are told apart by
 their place, so repeated rows and null ids each get a slot of their own; extra columns are ignored; an empty table
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import erased, written
 
 SHARDS = 24
 ROUNDS = 5
@@ -75,7 +76,10 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, load:
     linked = rows.join(groups, "link", "left")  # skewed links: AQE splits, the group side is one row a link
     parts = F.ceil(F.col("count") / whole)
     hub = F.when(F.col("count").isNotNull(), F.xxhash64("link", F.pmod(F.xxhash64("row"), parts)))
-    state = linked.select("row", hub.alias("hub"), F.pmod(F.xxhash64("row", F.lit("start")), F.lit(shards)).cast("int").alias("shard"))
+    # Where a row is ranked in the end: with its whole hub, unless that is larger than a task should rank.
+    pieces = F.greatest(F.ceil(F.col("count") / parts / BUCKET_ROWS), F.lit(1))
+    at = F.when(hub.isNotNull(), F.xxhash64(hub, F.pmod(F.xxhash64("row", F.lit("rank")), pieces))).otherwise(F.xxhash64("row"))
+    state = linked.select("row", hub.alias("hub"), at.alias("at"), F.pmod(F.xxhash64("row", F.lit("start")), F.lit(shards)).cast("int").alias("shard"))
     state = written(state, "state")
     for k in range(rounds):
         sizes = _sizes(state.where("hub IS NOT NULL"), shards)
@@ -85,17 +89,19 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, load:
         turn = lambda shard: F.pmod(shard + F.pmod(F.col("hub"), F.lit(shards)), F.lit(shards))  # noqa: E731  ties: another shard for each group
         scored = F.transform("votes", lambda v: F.struct((1000 * v["count"] / F.col("members") - _at(penalty, v["shard"])).alias("score"), turn(v["shard"]).alias("turn"), v["shard"].alias("shard")))
         wishes = members.select("hub", F.array_max(scored)["shard"].alias("wish"))
-        moving = state.where("hub IS NOT NULL").join(wishes, "hub").select("row", "hub", "shard", "wish")
+        moving = state.where("hub IS NOT NULL").join(wishes, "hub").select("row", "hub", "at", "shard", "wish")
         moving = written(moving, "wishes")
         flows = {(r[0], r[1]): r[2] for r in moving.where("shard <> wish").groupBy("shard", "wish").count().collect()}
         if not flows:
+            erased(moving)
             break
         share = allowed(flows, sizes, quota)
         table = [round(1_000_000 * share.get((i, j), 0)) for i in range(shards) for j in range(shards)]
         part = F.pmod(F.xxhash64("hub", F.lit(k)), F.lit(1_000_000))
         goes = part < _at(table, F.col("shard") * shards + F.col("wish"))
-        moved = moving.select("row", "hub", F.when(goes, F.col("wish")).otherwise(F.col("shard")).alias("shard"))
-        state = written(state.where("hub IS NULL").union(moved), "state")
+        moved = moving.select("row", "hub", "at", F.when(goes, F.col("wish")).otherwise(F.col("shard")).alias("shard"))
+        before, state = state, written(state.where("hub IS NULL").union(moved), "state")
+        erased(before, moving)
     return rows.join(_settle(state, quota), "row")
 
 
@@ -107,17 +113,13 @@ def _settle(state: DataFrame, quota: list[int]) -> DataFrame:
     room = [max(0, q - s) for s, q in zip(sizes, quota)]
     opens = [sum(room[:j]) for j in range(shards)]
     buckets = max(1, math.ceil(n / shards / BUCKET_ROWS))
-    lone = F.col("hub").isNull()
-    state = state.withColumns({
-        "lone": lone, "g": F.pmod(F.xxhash64(F.coalesce("hub", "row")), F.lit(buckets)),
-        "h": F.pmod(F.xxhash64("row", F.lit("rank")), F.lit(buckets)),
-    })
-    group = ["shard", "lone", "g", "h"]
-    sums = Window.partitionBy("shard").orderBy("lone", "g", "h").rowsBetween(Window.unboundedPreceding, -1)
+    state = state.withColumns({"lone": F.col("hub").isNull(), "bucket": F.pmod("at", F.lit(buckets))})
+    group = ["shard", "lone", "bucket"]
+    sums = Window.partitionBy("shard").orderBy("lone", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = state.groupBy(*group).count().select(*group, F.coalesce(F.sum("count").over(sums), F.lit(0)).alias("first"))
     ranked = state.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("hub", "row")) - 1)
     rank = F.col("first") + F.col("r")
-    ranked = ranked.join(small(written(firsts, "firsts")), group).select("row", "shard", rank.alias("rank"))
+    ranked = ranked.join(firsts, group).select("row", "shard", rank.alias("rank"))
     index = _at(before, F.col("shard")) + F.col("rank") - _at(quota, F.col("shard"))
     kept = ranked.where(F.col("rank") < _at(quota, F.col("shard"))).select("row", "shard", F.col("rank").alias("slot"))
     moved = ranked.where(F.col("rank") >= _at(quota, F.col("shard"))).select("row", index.alias("i"))

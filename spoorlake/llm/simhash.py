@@ -1,8 +1,10 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
-A fingerprint's 64 bits are cut into ``BLOCKS`` = 6 blocks. Fingerprints that differ in at most 4 bits differ in at
-most 4 blocks, so they agree in at least 2: joining on every choice of 2 blocks (15 keys of about 21 bits) loses no
-pair, and each candidate's Hamming distance is then computed. A pair is counted for the first key it shares only.
+A fingerprint's 64 bits are cut into blocks, say 6. Fingerprints that differ in at most 4 bits differ in at most 4
+blocks, so they agree in at least 2: joining on every choice of 2 blocks (15 keys of about 21 bits) loses no pair, and
+each candidate's Hamming distance is then computed. A pair is counted for the first key it shares only. More blocks make
+more but longer keys: 7 give 35 keys of about 27 bits, 8 give 70 of 32. The number of distinct fingerprints decides
+(:func:`blocks_for`), so that chance candidates don't outgrow the keys; the links are the same for any number.
 Copies are one row throughout: only distinct fingerprints are joined, and each carries the number of its documents.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows are documents of
@@ -12,6 +14,7 @@ null ids alone has a null id); other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,7 +31,6 @@ from .common import batch, release, texts_of, written
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
-BLOCKS = 6
 
 
 def fingerprint(text: str, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -64,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def masks(bits: int = MAX_BITS, blocks: int = BLOCKS) -> list[int]:
+def masks(bits: int = MAX_BITS, blocks: int = 6) -> list[int]:
     """One mask (signed) for every choice of ``blocks - bits`` blocks."""
     if blocks <= bits:
         raise ValueError("more blocks than differing bits are needed")
@@ -74,9 +76,15 @@ def masks(bits: int = MAX_BITS, blocks: int = BLOCKS) -> list[int]:
     return [signed(sum(c)) for c in combinations(each, blocks - bits)]
 
 
-def links(fps: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(n: int, bits: int = MAX_BITS) -> int:
+    """The number of blocks with the least work for ``n`` distinct fingerprints: keys, and chance candidates for each."""
+    work = lambda b: math.comb(b, bits) * n * (1 + n / 2 ** (64 * (b - bits) / b))
+    return min(range(bits + 1, bits + 13), key=work)
+
+
+def links(fps: DataFrame, bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """``a, b, n_a, n_b`` for every pair a < b of the distinct fingerprints ``fp, n`` at ``bits`` or fewer bits."""
-    all_masks = masks(bits, blocks)
+    all_masks = masks(bits, blocks or blocks_for(fps.count(), bits))
     keyed = fps.select("fp", "n", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in all_masks])).alias("c", "key"))
     left = keyed.select("c", "key", F.col("fp").alias("a"), F.col("n").alias("n_a"))
     right = keyed.select("c", "key", F.col("fp").alias("b"), F.col("n").alias("n_b"))
@@ -86,7 +94,7 @@ def links(fps: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFra
     return near.where(first == F.col("c")).select("a", "b", "n_a", "n_b")
 
 
-def _groups(rows: DataFrame, bits: int, blocks: int) -> DataFrame:
+def _groups(rows: DataFrame, bits: int, blocks: int | None) -> DataFrame:
     """``fp, n, first, others, part`` of the distinct fingerprints of a written table of ``doc_id, fp``: documents,
     smallest id, documents with linked fingerprints, and the component's smallest fingerprint."""
     fps = written(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "distinct")
@@ -97,7 +105,7 @@ def _groups(rows: DataFrame, bits: int, blocks: int) -> DataFrame:
     return written(known.withColumn("others", F.coalesce("others", F.lit(0))), "known")
 
 
-def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """``doc_id, fingerprint, n_near, component_id`` for every row of ``docs``."""
     rows = written(fingerprints(docs), "fingerprints")
     known = _groups(rows, bits, blocks)
@@ -116,15 +124,14 @@ def _fingerprint_udf():
     return run
 
 
-def keep_one(docs: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def keep_one(docs: DataFrame, bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """The rows of ``docs``, with their columns, of which each component of near duplicates keeps the one with the
     smallest ``doc_id`` (null last, then the smallest fingerprint; of rows equal in both, one)."""
-    rows = written(fingerprints(docs), "fingerprints")
-    known = _groups(rows, bits, blocks)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
-    chosen = rows.join(known.select("fp", "part"), "fp").groupBy("part").agg(F.min(order).alias("c"))
-    chosen = written(chosen.select(F.col("c.doc_id").alias("_id"), F.col("c.fp").alias("_fp")), "chosen")
+    # The rows with their fingerprints and numbers are stored once; texts are shuffled once, by the number.
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    keyed = docs.select(whole, F.col("doc_id").alias("id"), _fingerprint_udf()("text").alias("fp"))
-    kept = keyed.join(chosen, F.col("fp").eqNullSafe(F.col("_fp")) & F.col("id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["id", "fp"]).select("doc.*")
+    stored = written(docs.select(whole, F.col("doc_id").alias("id"), _fingerprint_udf()("text").alias("fp"), F.monotonically_increasing_id().alias("row")), "fingerprints")
+    known = _groups(stored.select(F.col("id").alias("doc_id"), "fp"), bits, blocks)
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "row")
+    first = stored.groupBy("fp").agg(F.min(order).alias("first"))  # one row a fingerprint before the join
+    chosen = first.join(known.select("fp", "part"), "fp").groupBy("part").agg(F.min("first")["row"].alias("row"))
+    return stored.join(written(chosen.select("row"), "chosen"), "row", "left_semi").select("doc.*")
