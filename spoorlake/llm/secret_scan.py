@@ -8,7 +8,7 @@ around it. It is grown on labelled findings: a parameter; :data:`LABELLED` is a
 seed. Growing takes place on the driver, on a few thousand rows; scanning is a map over the rows without a shuffle.
 
 Defined results: null and empty texts have no findings; repeated rows have theirs each; a null ``doc_id`` or path is
-carried as it is; a candidate may be as long as its text; extra columns pass or are ignored. Without labelled findings
+carried as it is; a candidate may be as long as its text; extra columns, whatever their names, pass or are ignored. Without labelled findings
 of both kinds nothing is called false: every candidate is a secret.
 """
 
@@ -145,12 +145,12 @@ def _labelled(n: int = 2400, seed: int = 11) -> list[tuple[str, int, int, str |
     r = random.Random(seed)
     hexa, base = "0123456789abcdef", string.ascii_letters + string.digits
     pick = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
-    plain = [w for w in _WORDS if w.isascii()]
+    plain, tops = [w for w in _WORDS if w.isascii()], "com org net io de fr co.uk example.com".split()
     words = lambda k: " ".join(r.choice(plain) for _ in range(k))
 
     def secret() -> tuple[str, str, str]:
         value = r.choice([
-            lambda: pick(hexa, r.choice([32, 40, 48, 64])), lambda: pick(base, r.randint(20, 64)), lambda: pick(base + "+/", r.randint(24, 64)) + "=" * r.randint(0, 2),
+            lambda: pick(hexa, r.randint(20, 72)), lambda: pick(base, r.randint(20, 64)), lambda: pick(base + "+/", r.randint(24, 64)) + "=" * r.randint(0, 2),
             lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(base, 36), lambda: "sk_live_" + pick(base, 24),
             lambda: pick(base, 4) + pick(base + "!@#$%&*!@#$%&*", r.randint(4, 12)), lambda: r.choice(plain).title() + pick(string.digits, r.randint(2, 4)) + pick(base, r.randint(2, 5)), lambda: pick(string.ascii_lowercase, 16),
             lambda: "eyJ" + pick(base, 20) + "." + pick(base, 40) + "." + pick(base + "-_", 30), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(base, 24),
@@ -165,7 +165,7 @@ def _labelled(n: int = 2400, seed: int = 11) -> list[tuple[str, int, int, str |
     def other() -> tuple[str, str, str]:
         kind = r.randrange(13)
         if kind == 0:
-            return f"{r.choice(_COLD)} ", pick(hexa, r.choice([32, 40, 64])), ""
+            return f"{r.choice(_COLD)} ", pick(hexa, r.randint(20, 64)), ""
         if kind == 1:
             return f"{r.choice(_COLD)}: ", pick(hexa, r.choice([32, 40, 64, 128])), r.choice(["", "  file.tar.gz"])
         if kind == 2:
@@ -179,11 +179,12 @@ def _labelled(n: int = 2400, seed: int = 11) -> list[tuple[str, int, int, str |
         if kind == 6:
             return f"{r.choice(_HOT)} = \"", r.choice(["your-" + r.choice(plain) + "-goes-here-1", "xxxxxxxxxxxxxxxxxxxx1", "0000000000000000000000", "changeme-changeme-1", "<1234567890123456>"[1:-1], "EXAMPLE_" + r.choice(plain).upper() + "_TOKEN_1"]), '"'
         if kind == 7:
-            return "", pick(string.digits, 16), ""
+            return r.choice(["", "no. ", "tel ", "order ", "+"]), pick(string.digits, r.randint(16, 24)), ""
         if kind == 8:
-            return "", f"{r.choice(plain)}.{r.choice(plain)}{r.randrange(100)}.{r.choice(plain)}.example.com", ""
+            return "", f"{r.choice(plain)}.{r.choice(plain)}{r.randrange(100)}.{r.choice(plain)}.{r.choice(tops)}", ""
         if kind == 9:
-            return f"{r.randrange(100)}@", f"mail{r.randrange(10)}.{r.choice(plain)}.example.com", ""
+            name, host = r.choice(plain) + r.choice(["", ".", "_"]) + r.choice(plain) + str(r.randrange(1000)), f"{r.choice(plain)}{r.choice(['', '-', '.'])}{r.choice(plain)}{r.randrange(30)}.{r.choice(tops)}"
+            return r.choice([("", name, "@" + host), (name + "@", host, "")])
         if kind > 10:
             value = r.choice([
                 lambda: r.choice(plain), lambda: r.choice(plain) + r.choice(["_", "-", "."]) + r.choice(plain), lambda: "${" + r.choice(plain).upper() + "}", lambda: f"<{r.choice(plain)}>", lambda: r.choice("*x.") * r.randint(3, 12),
@@ -317,9 +318,11 @@ def redact(docs: DataFrame, forest: Forest, path: str = "source", threshold: flo
         release()
         return out
 
-    changed = docs.withColumn("_text", clean(F.col("text"), F.col(path).cast("string")))
-    columns = {"text": F.col("_text")}
+    # The row as one column: names of its own can't clash with those of docs.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    changed = docs.select(whole, clean(F.col("text"), F.col(path).cast("string")).alias("text"))
+    columns = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        same = F.col("_text").eqNullSafe(F.col("text"))
-        columns["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
+        same = F.col("text").eqNullSafe(F.col("doc.text"))
+        columns["n_chars"] = F.when(same, F.col("doc.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*[columns[c].alias(c) if c in columns else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
