@@ -343,11 +343,67 @@ def test_forest_removes_false_positives(spark, docs, none):
     clean = {r.doc_id: r for r in secret_scan.redact(rows, forest).collect()}
     assert "24be" not in clean[1].text and secret_scan.MARK in clean[1].text and "9f86d0" in clean[1].text
     assert clean[1].n_chars == len(clean[1].text) and clean[2].text == "plain words" and clean[3].text is None and clean[3].n_chars is None
+    assert {r.doc_id: r._text for r in secret_scan.redact(rows, forest).collect()} == {1: "x", 2: "y", 3: None}
     assert secret_scan.redact(docs, forest).columns == docs.columns and secret_scan.redact(docs, forest).count() == docs.count()
     assert secret_scan.scan(none, forest).count() == 0
     assert secret_scan.Forest(x[:0], np.array([])).probability(x[:3]).tolist() == [1, 1, 1]
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_precision_and_recall_on_the_given_documents(spark, sf):
+    """The documents hold planted credentials in one form, which is looked for by that form alone."""
+    table = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    planted = re.compile(r"""\b(?:token|secret|password|api_key)\s*[=:]\s*["']([0-9A-Za-z]{16,})["']""")
+    want = {(r.doc_id, m.start(1), m.end(1) - m.start(1)) for r in table.collect() for m in planted.finditer(r.text or "")}
+    got = {(r.doc_id, r.start, r.length): r.is_secret for r in secret_scan.scan(table, secret_scan.grow()).collect()}
+    found = {k for k, hit in got.items() if hit}
+    assert want and len(found & want) >= 0.95 * len(want), (len(want), len(found))
+    assert len(found & want) >= 0.9 * len(found), [*found - want][:5]
+    assert len(got) > 2 * len(found)  # the forest has something to remove
+
+
+def test_quality_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    held = {r.doc_id: r.quality for r in labels.where("doc_id % 2 = 0").collect() if r.quality is not None}
+    got = {r.doc_id: r.keep for r in quality.classify(docs, labels.where("doc_id % 2 = 1")).collect()}
+    right = [got[d] == bool(q) for d, q in held.items() if d in got]
+    base = max(np.mean([*held.values()]), 1 - np.mean([*held.values()]))
+    assert len(right) > 50 and np.mean(right) > max(0.95, base)
+
+
+def test_rates_are_shrunk_by_the_stated_moments(spark):
+    """Host and path rates recomputed from the ratios, with the priors' weights from the spread between sites."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "a few words" if rng.random() < (0.2, 0.9, 0.5)[i % 3] else "!!! ??? ###", f"p{i % 2}", f"h{i % 3}" if i % 20 else f"lone{i}") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int("words" in t), 0) for i, t, _, _ in rows if i % 5], "doc_id long, quality int, toxic int")
+    got = quality.classify(d, labels).collect()
+    sites = collections.defaultdict(list)
+    for r in got:
+        sites[r.host, r.path].append(1 / (1 + math.exp(-r.ratio)))
+    hosts = collections.defaultdict(list)
+    for (h, _), p in sites.items():
+        hosts[h] += p
+    everything = [p for ps in sites.values() for p in ps]
+    corpus = min(max(sum(everything) / len(everything), 0.001), 0.999)
+
+    def weight(groups):  # (values, rate above)
+        n = sum(len(v) for v, _ in groups)
+        between = (sum(len(v) * (np.mean(v) - q) ** 2 for v, q in groups) - sum(q * (1 - q) for _, q in groups)) / n
+        inner = sum(len(v) * q * (1 - q) for v, q in groups) / n
+        return min(max(inner / between - 1, quality.PRIOR[0]), quality.PRIOR[1]) if between > 0 else quality.PRIOR[1]
+
+    m = weight([(v, corpus) for v in hosts.values()])
+    host_rate = {h: (sum(v) + m * corpus) / (len(v) + m) for h, v in hosts.items()}
+    k = weight([(v, host_rate[h]) for (h, _), v in sites.items()])
+    for r in got:
+        v = sites[r.host, r.path]
+        path_rate = (sum(v) + k * host_rate[r.host]) / (len(v) + k)
+        assert math.isclose(r.host_rate, host_rate[r.host], rel_tol=1e-9) and math.isclose(r.path_rate, path_rate, rel_tol=1e-9)
+        assert math.isclose(r.posterior, 1 / (1 + math.exp(-(r.ratio + math.log(path_rate / (1 - path_rate))))), rel_tol=1e-9)
+
+
 def test_short_and_odd_secrets_are_scanned_too(spark):
     forest = secret_scan.grow()
     key = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(hashlib.sha512(bytes([i])).hexdigest()[:64] for i in range(6)) + "\n-----END RSA PRIVATE KEY-----"
