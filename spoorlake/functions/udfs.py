@@ -29,10 +29,19 @@ def canonical_json(value) -> str:
 
 
 def canonical(text: str) -> str | None:
-    try:
-        return canonical_json(json.loads(text))
-    except ValueError:
-        return None
+    return _of_json(lambda value: canonical_json(value))(text)
+
+
+def _of_json(f):
+    """``f`` of a JSON text's value; null for what isn't JSON, or holds numbers that overflow or levels beyond the stack."""
+
+    def run(text: str):
+        try:
+            return f(json.loads(text))
+        except (ValueError, OverflowError, RecursionError):
+            return None
+
+    return run
 
 
 def keyed_group(secret: str, domain: str, alias: str) -> str:
@@ -62,7 +71,7 @@ def scrub(value, depth: int = 0) -> tuple[object, int]:
     return out, removed
 
 
-_PYTHON = {k: [re.compile(p.replace("(?U)", "")) for p in patterns] for k, (_, patterns) in DETECTORS.items()}
+_PYTHON = {k: [re.compile(p, re.ASCII) for p in patterns] for k, (_, patterns) in DETECTORS.items()}
 
 
 def spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -150,7 +159,7 @@ def redact_udf():
 
 
 def redact_structured_udf():
-    return F.pandas_udf(_typed(lambda x: canonical_json(redact_structured(json.loads(x)))), "string")
+    return F.pandas_udf(_typed(_of_json(lambda value: canonical_json(redact_structured(value)))), "string")
 
 
 def entities_udf():
@@ -158,7 +167,7 @@ def entities_udf():
 
 
 def scrub_udf():
-    return F.pandas_udf(_typed(lambda x: canonical_json(scrub(json.loads(x))[0])), "string")
+    return F.pandas_udf(_typed(_of_json(lambda value: canonical_json(scrub(value)[0]))), "string")
 
 
 def keyed_group_udf(secret: str, domain: str):

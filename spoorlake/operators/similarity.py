@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import written
+from .durable import small, written
 
 
 def jaccard_pairs(sets: DataFrame, threshold_bp: int = 8000) -> DataFrame:
@@ -33,9 +33,15 @@ def jaccard_pairs(sets: DataFrame, threshold_bp: int = 8000) -> DataFrame:
     return both.withColumn("similarity_bp", F.floor(F.col("intersection") * 10_000 / F.col("union_size")).cast("long"))
 
 
+#: Distinct query features up to which the rows are filtered by them before any shuffle.
+FILTER_FEATURES = 500_000
+
+
 def containment(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """``query, id, shared, n_query``: features that each row shares with each query (``query, features`` and ``id,
-    features``), where there are any."""
-    q = queries.select("query", F.size("features").cast("long").alias("n_query"), F.explode("features").alias("f"))
-    r = rows.select("id", F.explode("features").alias("f"))
+    features``), where there are any. Most rows share nothing: if the queries' features are few (they are counted), each
+    row's are filtered by them where they are; else the same join shuffles them all."""
+    q = written(queries.select("query", F.size("features").cast("long").alias("n_query"), F.explode("features").alias("f")), "queries")
+    known = written(q.select("f").distinct(), "features")
+    r = rows.select("id", F.explode("features").alias("f")).join(small(known, FILTER_FEATURES), "f", "left_semi")
     return r.join(q, "f").groupBy("query", "id").agg(F.count("*").alias("shared"), F.first("n_query").alias("n_query"))

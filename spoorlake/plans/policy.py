@@ -176,8 +176,8 @@ _ATTEST = {
 
 
 @query("rights_attestation", f"""WITH t0 AS (SELECT CAST(o_custkey AS BIGINT) AS ck, CAST(o_orderkey AS BIGINT) AS ok FROM orders), t AS (SELECT {", ".join(f"{e} AS {n}" for n, e in _ATTEST.items())}, ok FROM t0),
-  r AS (SELECT trace, event, CASE WHEN a_event IS NULL THEN ['RIGHTS_ATTESTATION_REQUIRED'] ELSE {_codes(("a_event IS DISTINCT FROM event_sha256", "RIGHTS_ATTESTATION_EVENT_CHANGED"), ("a_source IS DISTINCT FROM source_sha256", "RIGHTS_ATTESTATION_SOURCE_CHANGED"), ("a_at > 0", "RIGHTS_ATTESTATION_NOT_YET_VALID"), ("a_until <= 0", "RIGHTS_ATTESTATION_EXPIRED"), ("NOT ((ok % 5 <> 0 AND target_product = 'model') OR ok % 5 = 1 AND target_product IS NULL)", "RIGHTS_ATTESTATION_SCOPE_MISMATCH"), ("ok % 7 < 2 AND a_rights <> 'x'", "RIGHTS_ATTESTATION_CONTENT_MISMATCH"))} END AS codes FROM t)
-  SELECT trace, event, array_to_string(codes, ',') AS reasons FROM r""".replace("(ok % 5 <> 0 AND target_product = 'model') OR ok % 5 = 1 AND target_product IS NULL", "(ok % 5 <> 0 AND coalesce(target_product, '') = 'model') OR (ok % 5 = 1 AND target_product IS NULL)"))
+  r AS (SELECT trace, event, CASE WHEN a_event IS NULL THEN ['RIGHTS_ATTESTATION_REQUIRED'] ELSE {_codes(("a_event IS DISTINCT FROM event_sha256", "RIGHTS_ATTESTATION_EVENT_CHANGED"), ("a_source IS DISTINCT FROM source_sha256", "RIGHTS_ATTESTATION_SOURCE_CHANGED"), ("a_at > 0", "RIGHTS_ATTESTATION_NOT_YET_VALID"), ("a_until <= 0", "RIGHTS_ATTESTATION_EXPIRED"), ("NOT ((ok % 5 <> 0 AND coalesce(target_product, '') = 'model') OR (ok % 5 = 1 AND target_product IS NULL))", "RIGHTS_ATTESTATION_SCOPE_MISMATCH"), ("ok % 7 < 2 AND a_rights <> 'x'", "RIGHTS_ATTESTATION_CONTENT_MISMATCH"))} END AS codes FROM t)
+  SELECT trace, event, array_to_string(codes, ',') AS reasons FROM r""")
 def rights_attestation(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("ck"), F.col("o_orderkey").cast("long").alias("ok"))
     rows = o.selectExpr("ok", *[f"{e} AS {n}" for n, e in _ATTEST.items()])
