@@ -134,4 +134,5 @@ def keep_one(docs: DataFrame, bits: int = MAX_BITS, blocks: int | None = None) -
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "row")
     first = stored.groupBy("fp").agg(F.min(order).alias("first"))  # one row a fingerprint before the join
     chosen = first.join(known.select("fp", "part"), "fp").groupBy("part").agg(F.min("first")["row"].alias("row"))
-    return stored.join(written(chosen.select("row"), "chosen"), "row", "left_semi").select("doc.*")
+    # One way to join at every size: the chosen rows grow with the table.
+    return stored.join(written(chosen.select("row"), "chosen").hint("merge"), "row", "left_semi").select("doc.*")
