@@ -28,55 +28,76 @@ from .common import batch, partition_id, release, texts_of, written
 CAPACITY = 4096
 END_ID = 1
 #: Chunks whose ids a task remembers (about 200 bytes each); they are forgotten at its end, as workers live on.
-CACHE = 500_000
+CACHE = 400_000
 
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: A chunk of Latin letters and the punctuation after it, or any other chunk; one a line.
+_CHUNK = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)|(.*))$", re.M)
+
+
+class _Known(dict):
+    """Codes of chunks; a new chunk gets the next code and waits to be encoded."""
+
+    def __init__(self):
+        super().__init__({"": 0})
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.new.append(chunk)
+        return n
 
 
 class WordTokenizer:
     """Ids of whole texts by a ``tokenizers`` file whose pre-tokens never span ASCII white space. Text is cut there
-    and the chunks' ids are remembered; words of Latin letters that aren't known are encoded many in one call."""
+    and the chunks' ids are remembered; words of Latin letters that aren't known are encoded many in one call, by the
+    same model without the normaliser and the expressions that such words, in lower case, pass unchanged."""
 
     def __init__(self, path: str, cache: int = CACHE):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.last[ends] = True
-        self.chunks: dict[str, bytes] = {"": b""}
         self.limit = cache
+        self.forget()
 
     def _one(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
-        out = {"": b""}
+        """Of words of letters in lower case, and of runs of punctuation."""
+        out = {}
         groups = [words[i : i + 256] for i in range(0, len(words), 256)]
-        made = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        made = self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
         for group, encoding in zip(groups, made):
             ids = np.array(encoding.ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(group) and ends[-1] == len(ids):
                 raw, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
-                out.update((w, raw[a:b]) for w, a, b in zip(group, cuts, cuts[1:]))
+                out.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
             else:
                 out.update((w, self._one(w)) for w in group)
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        simple, match = {}, _SIMPLE.fullmatch
-        for c in chunks:
-            if m := match(c):
-                simple[c] = m.groups()
-            else:
-                self.chunks[c] = self._one(c)
-        of = self._words([*{w for pair in simple.values() for w in pair if w}])
-        self.chunks.update((c, of[a] + of[b]) for c, (a, b) in simple.items())
+    def _learn(self) -> None:
+        """Encode the chunks that wait."""
+        new, self.codes.new = self.codes.new, []
+        if not new:
+            return
+        parts = [(w.lower(), marks, other) for w, marks, other in _CHUNK.findall("\n".join(new))]
+        known, words = self.words, {x for w, marks, other in parts for x in (w, marks)}
+        fresh = [w for w in words if w not in known]
+        if fresh:
+            known.update(self._words(fresh))
+        self.table += [self._one(other) if other else known[w] + known[marks] for w, marks, other in parts]
 
     def forget(self) -> None:
-        self.chunks = {"": b""}
+        self.codes, self.table, self.words = _Known(), [b""], {"": b""}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -87,17 +108,13 @@ class WordTokenizer:
             while end < len(texts) and (size < 2_000_000 or end == start):
                 size += len(texts[end])
                 end += 1
-            cut = [re.sub("[\n\t\r]", " ", t).split(" ") for t in texts[start:end]]
-            wanted = {c for chunks in cut for c in chunks}
-            known = self.chunks
-            new = {c for c in wanted if c not in known}
-            if new:
-                if len(known) + len(new) > self.limit:
-                    self.chunks = {"": b""}
-                    new = wanted - {""}
-                self._learn(new)
-            of = self.chunks.__getitem__
-            out += [b"".join(map(of, chunks)) for chunks in cut]
+            if len(self.codes) > self.limit:
+                self.forget()
+            code = self.codes.__getitem__
+            coded = [[*map(code, re.sub("[\n\t\r]", " ", t).split(" "))] for t in texts[start:end]]
+            self._learn()
+            of = self.table.__getitem__
+            out += [b"".join(map(of, codes)) for codes in coded]
             start = end
         return out
 
