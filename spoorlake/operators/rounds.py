@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_id
-from .sequences import asof_backward
 
 USAGE = ("input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "latency_ms", "cost_usd")
 
@@ -32,37 +31,37 @@ def derive_rounds(events: DataFrame) -> DataFrame:
     return stepped.unionByName(lone)
 
 
-def assign_events(events: DataFrame, rounds: DataFrame) -> DataFrame:
-    """``trace_id, event_id, round, how`` for every event of a trace that has rounds: ``member`` of the round, or an
+def assign_events(events: DataFrame) -> DataFrame:
+    """Adds ``round, how, round_sequence`` to every event of a trace that has rounds: ``member`` of its own round, or an
     orphan given to the latest round at or before it in its turn, else the turn's first round; without rounds in the
-    turn, likewise among the trace's rounds."""
+    turn, likewise among the trace's rounds. A round lies at its first event. One exchange on the trace serves all
+    windows, which differ in their sorts only."""
+    starts = (F.col("event_type") == "model.inference") | has_usage()
     key = F.concat(F.lit("step:"), stable_id(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("trace_id", "session_id", "turn_id", "step_id")]))
     lone = F.concat(F.lit("inference:"), stable_id(F.col("trace_id"), F.col("event_id")))
-    named = events.select("trace_id", "event_id", "session_id", "turn_id", "sequence", F.when(F.col("step_id").isNotNull(), key).otherwise(lone).alias("name"))
-    known = rounds.select("trace_id", F.col("round").alias("name"), F.lit(True).alias("member"))
-    named = named.join(known, ["trace_id", "name"], "left")
-    members = named.where("member").select("trace_id", "event_id", F.col("name").alias("round"), F.lit("member").alias("how"))
-    orphans = named.where("member IS NULL").select("trace_id", "event_id", "session_id", "turn_id", "sequence")
-    anchors = rounds.select("trace_id", "session_id", "turn_id", "sequence", "round", "first_event")
-    turn = asof_backward(orphans, anchors.withColumnRenamed("round", "turn_round"), ["trace_id", "session_id", "turn_id"], "sequence", ["turn_round"], "first_event")
-    both = asof_backward(turn, anchors.withColumnRenamed("round", "trace_round"), ["trace_id"], "sequence", ["trace_round"], "first_event")
-    order = F.struct("sequence", "first_event")
-    firsts = anchors.groupBy("trace_id", F.coalesce("session_id", F.lit("\0")).alias("s"), F.coalesce("turn_id", F.lit("\0")).alias("t")).agg(F.min_by("round", order).alias("turn_first"))
-    whole = anchors.groupBy("trace_id").agg(F.min_by("round", order).alias("trace_first"))
-    both = both.withColumns({"s": F.coalesce("session_id", F.lit("\0")), "t": F.coalesce("turn_id", F.lit("\0"))})
-    both = both.join(firsts, ["trace_id", "s", "t"], "left").join(whole, "trace_id")
-    in_turn = F.when(F.col("turn_first").isNotNull(), F.coalesce("turn_round", "turn_first"))
-    how = F.when(F.col("turn_first").isNotNull(), "turn").otherwise("trace")
-    found = F.coalesce(in_turn, "trace_round", "trace_first")
-    return members.unionByName(both.select("trace_id", "event_id", found.alias("round"), how.alias("how")))
+    rows = events.withColumns({"_name": F.when(F.col("step_id").isNotNull(), key).otherwise(lone), "_starts": starts}).repartition("trace_id")
+    own = Window.partitionBy("trace_id", "_name")
+    rows = rows.withColumns({"_member": F.bool_or("_starts").over(own), "_first": F.min(F.struct("sequence", "event_id")).over(own)})
+    anchor = F.when(F.col("_member") & (F.struct("sequence", "event_id") == F.col("_first")), F.struct("sequence", "event_id", F.col("_name").alias("name")))
+    rows = rows.withColumn("_anchor", anchor)
+    for name, keys in (("_turn", ["trace_id", "session_id", "turn_id"]), ("_trace", ["trace_id"])):
+        w = Window.partitionBy(*keys)
+        rows = rows.withColumns({name: F.max("_anchor").over(w.orderBy("sequence").rangeBetween(Window.unboundedPreceding, 0)), f"{name}_first": F.min("_anchor").over(w)})
+    found = F.coalesce("_turn", "_turn_first", "_trace", "_trace_first")
+    member = F.col("_member")
+    rows = rows.where(F.col("_trace_first").isNotNull()).withColumns({
+        "round": F.when(member, F.col("_name")).otherwise(found["name"]), "round_sequence": F.when(member, F.col("_first.sequence")).otherwise(found["sequence"]),
+        "how": F.when(member, "member").when(F.col("_turn_first").isNotNull(), "turn").otherwise("trace"),
+    })
+    return rows.drop("_name", "_starts", "_member", "_first", "_anchor", "_turn", "_turn_first", "_trace", "_trace_first")
 
 
-def last_usage(events: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Per round the last non-null value of every usage field, each field on its own."""
+def last_usage(assigned: DataFrame, *more: Column) -> DataFrame:
+    """Per round of :func:`assign_events` the last non-null value of every usage field, each field on its own, and
+    ``more`` aggregates."""
     order = F.struct("sequence", "event_id")
-    rows = events.join(assigned, ["trace_id", "event_id"])
     last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in USAGE]
-    return rows.groupBy("trace_id", "round").agg(*last)
+    return assigned.groupBy("trace_id", "round", "round_sequence").agg(*last, *more)
 
 
 def numbered(rounds: DataFrame) -> DataFrame:

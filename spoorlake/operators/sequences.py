@@ -116,3 +116,26 @@ def after_discontinuity(rows: DataFrame, keys: Sequence[str], seq: str, order: S
     w = Window.partitionBy(*keys).orderBy(*order)
     broken = F.when(F.col(seq) == F.coalesce(F.lag(seq).over(w) + 1, F.lit(start)), 0).otherwise(1)
     return rows.withColumn("_broken", broken).withColumn("quarantined", F.max("_broken").over(w.rowsBetween(*_UP_TO)) == 1).drop("_broken")
+
+
+def unique_after(rows: DataFrame, others: DataFrame, keys: Sequence[str], seq: str, tolerant: Sequence[str], row_id: str) -> DataFrame:
+    """The ``rows`` (``keys, seq, row_id``) after which there is exactly one of ``others`` with equal ``keys`` and with
+    ``tolerant`` columns that are equal or null on either side, with its place as ``found``.
+
+    Instead of a join, each of the others stands under every key that a row may ask for (its own value or any, for each
+    tolerant column), and a row asks under its own values and null; running counts then give the number of later ones. So
+    a hot key costs a few rows for each of its rows, not a product."""
+    ask, stand = [[]], [[]]
+    any_, null = F.lit("*"), F.lit("-")
+    value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), null)
+    for c in tolerant:
+        # A row with a null asks for any value; else for its own value, and for others' nulls.
+        ask = [[*a, x] for a in ask for x in (F.when(F.col(c).isNull(), any_).otherwise(value(c)), F.when(F.col(c).isNotNull(), null))]
+        stand = [[*a, x] for a in stand for x in (value(c), any_)]
+    whole = lambda parts: F.when(F.forall(F.array(*parts), lambda x: x.isNotNull()), F.concat_ws("\x1f", *parts))
+    left = rows.select(*keys, F.col(seq).alias("_at"), F.col(row_id).alias("_row"), F.explode(F.array_compact(F.array(*[whole(a) for a in ask]))).alias("_under"), F.lit(0).alias("_n"))
+    right = others.select(*keys, F.col(seq).alias("_at"), F.lit(None).cast(rows.schema[row_id].dataType).alias("_row"), F.explode(F.array(*[F.concat_ws("\x1f", *a) for a in stand])).alias("_under"), F.lit(1).alias("_n"))
+    later = Window.partitionBy(*keys, "_under").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    both = left.unionByName(right).withColumns({"_count": F.sum("_n").over(later), "_next": F.min(F.when(F.col("_n") == 1, F.col("_at"))).over(later)})
+    found = both.where("_n = 0").groupBy(*keys, F.col("_at").alias(seq), F.col("_row").alias(row_id)).agg(F.sum("_count").alias("n"), F.min("_next").alias("found"))
+    return found.where("n = 1").drop("n")

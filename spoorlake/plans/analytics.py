@@ -64,17 +64,9 @@ def round_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.numbered(R.derive_rounds(selected(spark, sf_dir))).select("trace_id", "sequence", "evidence", "round_index")
 
 
-def _assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    ev = selected(spark, sf_dir)
-    rounds = R.derive_rounds(ev)
-    return ev, rounds, R.assign_events(ev, rounds)
-
-
 @query("orphan_to_round_asof", EV + ", " + _ROUNDS + " SELECT trace_id, seq AS sequence, round_seq AS round_sequence, how FROM assigned WHERE how <> 'member'")
 def orphan_to_round_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev, rounds, assigned = _assigned(spark, sf_dir)
-    found = assigned.where("how <> 'member'").join(rounds.select("trace_id", "round", F.col("sequence").alias("round_sequence")), ["trace_id", "round"])
-    return found.join(ev.select("trace_id", "event_id", "sequence"), ["trace_id", "event_id"]).select("trace_id", "sequence", "round_sequence", "how")
+    return R.assign_events(selected(spark, sf_dir)).where("how <> 'member'").select("trace_id", "sequence", "round_sequence", "how")
 
 
 _LAST = ", ".join(f"arg_max({c}, seq) FILTER ({c} IS NOT NULL) AS {c}" for c in ("input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "latency_ms"))
@@ -83,9 +75,7 @@ _USAGE = EV + ", " + _ROUNDS + f", u AS (SELECT a.trace_id, a.round_seq, {_LAST}
 
 @query("round_usage_last_non_null", _USAGE + " SELECT trace_id, round_seq AS round_sequence, input_tokens, output_tokens, reasoning_tokens, cache_read_tokens, latency_ms FROM u")
 def round_usage_last_non_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev, rounds, assigned = _assigned(spark, sf_dir)
-    usage = R.last_usage(ev, assigned.drop("how")).join(rounds.select("trace_id", "round", F.col("sequence").alias("round_sequence")), ["trace_id", "round"])
-    return usage.select("trace_id", "round_sequence", "input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "latency_ms")
+    return R.last_usage(R.assign_events(selected(spark, sf_dir))).select("trace_id", "round_sequence", "input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "latency_ms")
 
 
 @query("usage_summary", _USAGE + """ SELECT count(*) AS rounds, count(input_tokens) AS input_rounds, coalesce(sum(input_tokens), 0)::BIGINT AS input_total, count(output_tokens) AS output_rounds, coalesce(sum(output_tokens), 0)::BIGINT AS output_total,
@@ -175,11 +165,10 @@ def tool_pairs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
   AND (r.session_id = c.session_id OR r.session_id IS NULL OR c.session_id IS NULL) AND (r.turn_id = c.turn_id OR r.turn_id IS NULL OR c.turn_id IS NULL)
   WHERE c.event_type = 'tool.call' GROUP BY 1, 2 HAVING count(*) = 1""")
 def tool_results_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with exactly one later result of their id whose session and turn don't differ (null fits all)."""
     ev = selected(spark, sf_dir).where("call_id IS NOT NULL")
-    side = lambda kind, p: ev.where(F.col("event_type") == kind).select("trace_id", "call_id", *[F.col(c).alias(p + c) for c in ("sequence", "session_id", "turn_id")])
-    same = lambda c: F.coalesce(F.col("c_" + c) == F.col("r_" + c), F.lit(True))  # noqa: E731  null fits all
-    both = side("tool.call", "c_").join(side("tool.result", "r_"), ["trace_id", "call_id"]).where((F.col("r_sequence") > F.col("c_sequence")) & same("session_id") & same("turn_id"))
-    return both.groupBy("trace_id", F.col("c_sequence").alias("call_sequence")).agg(F.min("r_sequence").alias("result_sequence"), F.count("*").alias("n")).where("n = 1").drop("n")
+    out = S.unique_after(ev.where("event_type = 'tool.call'"), ev.where("event_type = 'tool.result'"), ["trace_id", "call_id"], "sequence", ["session_id", "turn_id"], "event_id")
+    return out.select("trace_id", F.col("sequence").alias("call_sequence"), F.col("found").alias("result_sequence"))
 
 
 @query("dangling_calls_orphan_results", EV + """, c AS (SELECT DISTINCT trace_id, call_id FROM sel WHERE event_type = 'tool.call' AND call_id IS NOT NULL), r AS (SELECT DISTINCT trace_id, call_id FROM sel WHERE event_type = 'tool.result' AND call_id IS NOT NULL)
@@ -361,9 +350,7 @@ def failure_recovery_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("workload_rows", _USAGE + """ SELECT u.trace_id, u.round_seq AS round_sequence, count(*) AS events, count(*) FILTER (s.event_type = 'tool.call') AS tools, count(*) FILTER (s.status = 'error') AS errors, any_value(u.input_tokens) AS input_tokens,
   CASE WHEN any_value(u.input_tokens) IS NOT NULL THEN greatest(any_value(u.input_tokens) - coalesce(any_value(u.cache_read_tokens), 0), 0) END AS newly_appended FROM u JOIN assigned a ON a.trace_id = u.trace_id AND a.round_seq = u.round_seq JOIN sel s ON s.trace_id = a.trace_id AND s.sequence = a.seq GROUP BY 1, 2""")
 def workload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev, rounds, assigned = _assigned(spark, sf_dir)
-    usage = R.last_usage(ev, assigned.drop("how"))
-    counts = ev.join(assigned, ["trace_id", "event_id"]).groupBy("trace_id", "round").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "tool.call").alias("tools"), F.count_if(F.col("status") == "error").alias("errors"))
-    out = usage.join(counts, ["trace_id", "round"]).join(rounds.select("trace_id", "round", F.col("sequence").alias("round_sequence")), ["trace_id", "round"])
+    counts = [F.count("*").alias("events"), F.count_if(F.col("event_type") == "tool.call").alias("tools"), F.count_if(F.col("status") == "error").alias("errors")]
+    out = R.last_usage(R.assign_events(selected(spark, sf_dir)), *counts)
     fresh = F.greatest(F.col("input_tokens") - F.coalesce("cache_read_tokens", F.lit(0)), F.when(F.col("input_tokens").isNotNull(), 0).cast("long"))
     return out.select("trace_id", "round_sequence", "events", "tools", "errors", "input_tokens", F.when(F.col("input_tokens").isNotNull(), fresh).alias("newly_appended"))

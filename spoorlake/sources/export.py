@@ -113,6 +113,20 @@ def publish(spark: SparkSession, path: str, tables: dict[str, Callable[[str], No
         raise OSError(f"{staging} can't be renamed")
 
 
+def publish_canonical(spark: SparkSession, path: str, manifests: DataFrame, events: DataFrame, parts: DataFrame, reports: dict[str, DataFrame] | None = None) -> None:
+    """Canonical folder: manifests and events as JSON lines, content values once a digest, and reports (small aggregates)
+    as JSON. ``parts`` has sha256 and value; a value that isn't of its digest stops the publication."""
+    wrong = parts.where(F.col("value").isNotNull() & (F.sha2("value", 256) != F.col("sha256"))).select("sha256").first()
+    if wrong:
+        raise ValueError(f"content {wrong[0]} isn't of its digest")
+    # One row a digest is kept where the rows are first, so that a value that occurs everywhere is shuffled once a task.
+    blobs = parts.where("value IS NOT NULL").groupBy("sha256").agg(F.first("value").alias("value"))
+    tables = {"manifest": lambda p: manifests.write.json(p), "events": lambda p: events.write.json(p), "blobs": lambda p: blobs.write.parquet(p)}
+    for name, report in (reports or {}).items():
+        tables[f"reports/{name}"] = lambda p, r=report: r.coalesce(1).write.json(p)
+    publish(spark, path, tables)
+
+
 def verify(spark: SparkSession, path: str) -> DataFrame:
     """``path`` of every published file that is missing or changed."""
     listed = spark.read.schema("path string, bytes long, sha256 string").json(f"{path}/checksums")

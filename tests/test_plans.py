@@ -107,3 +107,51 @@ def test_rekeyed_spans_are_followed(spark):
     new = got[1].span_id
     assert new != "s1" and len(new) == 16 and got[2].parent_span_id == new and got[0].links == [new, "x"] and got[0].event_id == "e0" and got[1].event_id.startswith("redacted:")
     assert json.dumps([got[0].span_id, got[2].span_id]) == '["s0", "s2"]'
+
+
+def test_streamed_digests_equal_whole_ones(spark):
+    import hashlib
+
+    from spoorlake.operators import digests
+
+    rows = [(i % 3, i, None if i == 4 else f"é{i}" * (i % 5)) for i in range(60)] + [(7, i, "hot") for i in range(20_000)]
+    table = spark.createDataFrame(rows, "g long, i long, t string").repartition(5)
+    of = {g: [t or "" for h, _, t in rows if h == g] for g in (0, 1, 2, 7)}
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert {r.g: (r.digest, r.n) for r in digests.group_digests(table, "g", "i", F.col("t"), "|", ("[", "]")).collect()} == {g: (digest("[" + "|".join(t) + "]"), len(t)) for g, t in of.items()}
+    seen = digests.prefix_digests(table.where("g < 3"), "g", "i", F.col("t"), "|").collect()
+    assert {(r.g, r.n): (r.before, r.until) for r in seen} == {(g, n): (digest("|".join(of[g][:n])), digest("|".join(of[g][: n + 1]))) for g in (0, 1, 2) for n in range(20)}
+    assert digests.group_digests(table.limit(0), "g", "i", F.col("t")).count() == 0 and digests.prefix_digests(table.limit(0), "g", "i", F.col("t"), "|").count() == 0
+
+
+def test_unique_after_equals_a_join(spark):
+    import random
+
+    from spoorlake.operators import sequences
+
+    r = random.Random(3)
+    rows = [(r.randrange(3), i, "cr"[r.randrange(2)], r.choice([None, "a", "b"]), r.choice([None, "x", "y"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, at long, kind string, s string, t string")
+    got = {(x.k, x.at, x.found) for x in sequences.unique_after(df.where("kind = 'c'").withColumn("id", F.col("at")), df.where("kind = 'r'"), ["k"], "at", ["s", "t"], "id").collect()}
+    fits = lambda a, b: a is None or b is None or a == b
+    want = set()
+    for k, at, kind, s, t in rows:
+        later = [o[1] for o in rows if o[0] == k and o[2] == "r" and o[1] > at and fits(s, o[3]) and fits(t, o[4])]
+        if kind == "c" and len(later) == 1:
+            want.add((k, at, later[0]))
+    assert got == want
+
+
+def test_canonical_publication(spark, tmp_path):
+    import hashlib
+
+    from spoorlake.sources import export
+
+    of = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    parts = spark.createDataFrame([(of("a"), "a"), (of("a"), "a"), (of("b"), None)], "sha256 string, value string")
+    one = spark.createDataFrame([("t",)], "trace_id string")
+    path = f"file://{tmp_path}/out"
+    export.publish_canonical(spark, path, one, one, parts, {"redaction": one})
+    assert spark.read.parquet(f"{path}/blobs").count() == 1 and spark.read.json(f"{path}/reports/redaction").count() == 1 and export.verify(spark, path).count() == 0
+    with pytest.raises(ValueError):
+        export.publish_canonical(spark, path + "2", one, one, spark.createDataFrame([("0", "a")], "sha256 string, value string"))
