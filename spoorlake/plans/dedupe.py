@@ -52,8 +52,7 @@ _SHINGLES = r"""t AS (SELECT min(doc_id) AS id, count(*) AS copies, regexp_extra
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a distinct text: smallest doc_id, copies, hashed shingles."""
     docs = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("text").alias("text"))
-    hashed = F.transform(T.shingles(F.col("w")), lambda s: F.xxhash64(s))
-    return docs.withColumn("text", nfkc_udf()("text")).withColumn("w", T.dedupe_tokens(F.col("text"))).select("id", "copies", F.array_distinct(hashed).alias("features"))
+    return docs.withColumn("text", nfkc_udf()("text")).select("id", "copies", T.hashed_shingles(T.dedupe_tokens(F.col("text"))).alias("features"))
 
 
 @query("near_dup_pairs", "WITH " + _SHINGLES + """ SELECT a.id AS a, b.id AS b, count(*) AS intersection, any_value(na.n + nb.n) - count(*) AS union_size, floor(count(*) * 10000.0 / (any_value(na.n + nb.n) - count(*)))::BIGINT AS similarity_bp
@@ -76,8 +75,7 @@ def near_dup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word 8-grams that each document shares with each benchmark item."""
     def grams(df: DataFrame, name: str) -> DataFrame:
-        df = df.select(name, nfkc_udf()("text").alias("text")).select(name, T.dedupe_tokens(F.col("text")).alias("w")).where(F.size("w") >= 8)
-        return df.select(name, F.transform(T.shingles(F.col("w"), 8), lambda s: F.xxhash64(s)).alias("features"))
+        return df.select(name, nfkc_udf()("text").alias("text")).select(name, T.hashed_shingles(T.dedupe_tokens(F.col("text")), 8, shorter=False).alias("features"))
 
     items = grams(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("item_id", "query")
     docs = grams(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("doc_id", "id")
