@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import erased, written
 
 SHARDS = 24
-ROUNDS = 5
+ROUNDS = 8
 #: What a full shard loses of a vote, as a share of the group.
 LOAD = 0.25
 #: Rows that one task ranks, about.
