@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of ``documents``; the last returns the packed pieces.
+
+Defined results, for every stage: null and empty texts are judged as texts without words (they link with each other, hold no
+secret, and pack as one id); null ids, hosts and paths are values like any other; repeated rows are judged alike, and near-duplicate
+removal keeps one of them; texts of any length are read whole; an empty table gives an empty table; columns beside those of
+``documents``, whatever their names, pass all stages but the last.
 """
 
 from __future__ import annotations
