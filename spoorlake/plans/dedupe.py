@@ -87,20 +87,32 @@ _EDITS = {10_000: "concat(translate(text, 'aeiou', 'AEIOU'), '  ')", 20_000: "co
 _TURNS = " UNION ALL ".join(["SELECT conv_id, turn, text FROM conversations", *[f"SELECT conv_id, turn + {k}, {e} FROM conversations WHERE (conv_id + turn) % 3 = 0" for k, e in _EDITS.items()]])
 
 
-@query("text_near_dup_in_group", rf"""WITH r AS (SELECT conv_id, turn, text, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM ({_TURNS})),
+_NEAR_IN_GROUP = r"""WITH r AS (SELECT conv_id, turn, text, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM TURNS),
   s AS (SELECT *, len(string_split(t, ' ')) AS n FROM r WHERE length(t) >= 32),
   f AS (SELECT DISTINCT conv_id, turn, x FROM (SELECT conv_id, turn, CASE WHEN n >= 5 THEN array_to_string(list_slice(string_split(t, ' '), i, i + 2), '~') ELSE substr(t, i, 5) END AS x FROM (SELECT *, unnest(generate_series(1, CASE WHEN n >= 5 THEN n - 2 ELSE length(t) - 4 END)) AS i FROM s))),
   m AS (SELECT conv_id, turn, count(*) AS m FROM f GROUP BY ALL),
   j AS (SELECT a.conv_id, a.turn AS a, b.turn AS b, count(*) AS i FROM f a JOIN f b ON a.conv_id = b.conv_id AND a.x = b.x AND a.turn < b.turn GROUP BY ALL)
   SELECT j.conv_id, j.a, j.b FROM j JOIN m ma ON ma.conv_id = j.conv_id AND ma.turn = j.a JOIN m mb ON mb.conv_id = j.conv_id AND mb.turn = j.b JOIN s sa ON sa.conv_id = j.conv_id AND sa.turn = j.a JOIN s sb ON sb.conv_id = j.conv_id AND sb.turn = j.b
-  WHERE sa.text <> sb.text AND (sa.t = sb.t OR (least(length(sa.t), length(sb.t)) >= 0.8 * greatest(length(sa.t), length(sb.t)) AND j.i >= 0.82 * (ma.m + mb.m - j.i)))""")
+  WHERE sa.text <> sb.text AND (sa.t = sb.t OR (least(length(sa.t), length(sb.t)) >= 0.8 * greatest(length(sa.t), length(sb.t)) AND j.i >= 0.82 * (ma.m + mb.m - j.i)))"""
+
+
+@query("text_near_dup_in_group", _NEAR_IN_GROUP.replace("TURNS", "conversations"))
 def text_near_dup_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near duplicates among the texts of one conversation (with edited copies of some turns): joined on (conversation,
-    shingle)."""
+    return near_in_group(table(spark, sf_dir, "conversations"))
+
+
+@query("text_near_dup_edited", _NEAR_IN_GROUP.replace("TURNS", f"({_TURNS})"))
+def text_near_dup_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with edited copies of some turns, as the given conversations hold no near duplicates."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     turns = given
     for k, edit in _EDITS.items():
         turns = turns.union(given.where("(conv_id + turn) % 3 = 0").selectExpr("conv_id", f"turn + {k} AS turn", f"{edit} AS text"))
+    return near_in_group(turns)
+
+
+def near_in_group(turns: DataFrame) -> DataFrame:
+    """Near duplicates among the texts of one conversation: joined on (conversation, shingle)."""
     rows = turns.select("conv_id", "turn", F.sha2("text", 256).alias("h"), nfkc_udf()("text").alias("t")).withColumn("t", T.normal_form(F.col("t"))).where("length(t) >= 32")
     rows = rows.withColumns({"x": F.transform(T.mixed_shingles(F.col("t")), lambda s: F.xxhash64(s)), "n": F.length("t"), "k": F.sha2("t", 256)}).drop("t")
     side = lambda p: rows.select("conv_id", F.col("turn").alias(p), F.col("h").alias(f"h_{p}"), F.col("k").alias(f"k_{p}"), F.col("n").alias(f"n_{p}"), F.size("x").alias(f"m_{p}"), F.explode("x").alias("s"))
