@@ -1,6 +1,7 @@
 """Closed forms against step-by-step versions on random input."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,14 @@ def test_jaccard_pairs(spark, seed):
             if a < b and x and y and i * 10000 >= 6000 * u:
                 want[a, b] = (i, i * 10000 // u)
     assert got == want
+
+
+def test_jaccard_pairs_keep_only_features_that_sets_share(spark):
+    """Features of one set alone, which most are, are neither written nor joined; nor are sets that have too few others."""
+    where = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(Path(where).glob("sets-*"))
+    sets = [(i, [1000 * i + j for j in range(50)] + [-1, -2]) for i in range(40)] + [(100, [*range(-9, 0), -10]), (101, [*range(-9, 0), -11])]
+    got = jaccard_pairs(spark.createDataFrame(sets, "id long, features array<long>"))
+    assert [tuple(x) for x in got.collect()] == [(100, 101, 9, 11, 8181)]
+    (made,) = set(Path(where).glob("sets-*")) - before
+    assert {(x.id, *sorted(x.features)) for x in spark.read.parquet(str(made)).collect()} == {(i, *range(-9, 0)) for i in (100, 101)}
