@@ -20,9 +20,14 @@ LIMITS = {"records": 10_000, "features_per_record": 20_000, "features_total": 50
 def near_dup_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a bounded scan would refuse, and why, in the order of its checks; our own join has no such limits."""
     sets = _classes(spark, sf_dir).where(F.size("features") > 0)
-    sizes = sets.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.size("features")), F.lit(0)).alias("features"), F.coalesce(F.max(F.size("features")), F.lit(0)).cast("long").alias("most_features"))
-    postings = sets.select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("m")).agg(F.coalesce(F.max("m"), F.lit(0)).alias("most_postings"))
-    both = sizes.join(F.broadcast(postings))  # one row each
+    # One pass: each record's size goes with a null beside its features, as no feature is null.
+    rows = sets.select(F.size("features").cast("long").alias("n"), F.explode(F.array_append("features", F.lit(None).cast("long"))).alias("f"))
+    counts = rows.groupBy("f").agg(F.count("*").alias("m"), F.max(F.when(F.col("f").isNull(), F.col("n"))).alias("most"))
+    feature, zero = F.col("f").isNotNull(), F.lit(0).cast("long")
+    both = counts.agg(
+        F.coalesce(F.sum(F.when(~feature, F.col("m"))), zero).alias("records"), F.coalesce(F.sum(F.when(feature, F.col("m"))), zero).alias("features"),
+        F.coalesce(F.max("most"), zero).alias("most_features"), F.coalesce(F.max(F.when(feature, F.col("m"))), zero).alias("most_postings"),
+    )
     reason = (
         F.when(F.col("records") > LIMITS["records"], "RECORD_LIMIT").when(F.col("most_features") > LIMITS["features_per_record"], "FEATURES_PER_RECORD_LIMIT")
         .when(F.col("features") > LIMITS["features_total"], "FEATURES_TOTAL_LIMIT").when(F.col("most_postings") > LIMITS["postings"], "POSTINGS_LIMIT")

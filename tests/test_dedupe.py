@@ -33,3 +33,17 @@ def test_texts_in_other_unicode_forms_are_near_duplicates(spark, tmp_path):
     shared = {(7, i, len(grams(t, 8) & grams(FORMS[1], 8)), len(grams(FORMS[1], 8))) for i, t in docs if grams(t, 8) & grams(FORMS[1], 8)}
     assert len(shared) == 4 and set(run("benchmark_contamination", "item_id", "doc_id", "shared", "n_item")) == shared
     assert set(run("text_near_dup_in_group", "a", "b")) == near
+
+
+def test_no_python_worker_holds_texts(spark):
+    for name in ("near_dup_limits",):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan, name
+
+
+def test_limits_of_no_and_of_wordless_texts(spark, tmp_path):
+    for n, texts in enumerate(([], [None, ""], ["", "?!", "a b c d", "a b c d", "b c d"])):
+        sf = f"{tmp_path}/{n}"
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+        (got,) = entry.queries()["near_dup_limits"](spark, sf).collect()
+        assert (got.records, got.features, got.most_features, got.most_postings, got.reason_code) == ((3, 4, 2, 2, None) if n == 2 else (0, 0, 0, 0, None))
