@@ -59,6 +59,8 @@ def export_view(events: DataFrame, scope: str) -> DataFrame:
     links (array of span ids). ``events``: trace_id, event_id, sequence, event_type, actor, span_id, parent_span_id, links,
     include, content. A re-keyed event loses its source id. Redacted spans are one row each and join three times."""
     chosen = events.where("include").where(~projection_excluded(F.col("event_type"), F.col("content"))).withColumn("content", kept(F.col("content")))
+    # Counted here, so that callers that want no content don't move it.
+    chosen = chosen.withColumn("parts", F.size("content").cast("long"))
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
     identity = lambda what: F.concat(F.lit('{"actor":'), quoted(F.col("actor")), F.lit(',"event_type":'), quoted(F.col("event_type")), F.lit(f',"scope":"{scope}-{what}","sequence":'), F.col("sequence").cast("string"), F.lit(',"trace_id":'), quoted(F.col("trace_id")), F.lit("}"))
     hidden = chosen.where(F.exists("content", lambda p: p["status"] == "redacted"))
@@ -72,7 +74,7 @@ def export_view(events: DataFrame, scope: str) -> DataFrame:
     new = F.col("new_span").isNotNull()
     return out.select(
         "trace_id", "sequence", "event_type", F.when(new, F.concat(F.lit("redacted:"), F.substring(F.sha2(identity("event"), 256), 1, 32))).otherwise(F.col("event_id")).alias("event_id"), new.alias("rekeyed"),
-        F.coalesce("new_span", "span_id").alias("span_id"), F.coalesce("new_parent", "parent_span_id").alias("parent_span_id"), F.coalesce("new_links", F.array().cast("array<string>")).alias("links"), "content",
+        F.coalesce("new_span", "span_id").alias("span_id"), F.coalesce("new_parent", "parent_span_id").alias("parent_span_id"), F.coalesce("new_links", F.array().cast("array<string>")).alias("links"), "content", "parts",
     )
 
 

@@ -24,10 +24,11 @@ _SPANS = {
 _P = EV + ", s AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in _SPANS.items()) + " FROM ev), p AS (SELECT s.trace_id, s.event_id, s.sequence, s.event_type, s.turn_id, s.step_id, s.include, s.k, " + ", ".join(f"{e} AS {'part_type' if n == 'type' else n}" for n, e in _PART.items()) + " FROM (SELECT *, unnest(range(0, k % 3 + 1)) AS o FROM s) s)"
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = tuple(_PART)) -> DataFrame:
+    """``fields``: those of the parts that the caller reads; others needn't be made."""
     ev = canonical(spark, sf_dir)
     ev = ev.select("*", *[F.expr(e).alias(n) for n, e in _SPANS.items()])
-    parts = "transform(sequence(0L, k % 3), o -> named_struct(" + ", ".join(f"'{n}', {e}" for n, e in _PART.items()) + "))"
+    parts = "transform(sequence(0L, k % 3), o -> named_struct(" + ", ".join(f"'{n}', {_PART[n]}" for n in fields) + "))"
     return ev.withColumns({"content": F.expr(parts), "links": F.array_compact(F.array("link"))})
 
 
@@ -58,8 +59,8 @@ _IDENTITY = """'{"actor":"' || actor || '","event_type":"' || event_type || '","
     coalesce(h.new_span, c.span_id) AS span_id, coalesce(hp.new_span, c.parent_span_id) AS parent_span_id, coalesce(hl.new_span, c.link, '') AS links, coalesce(n.parts, 0) AS parts
   FROM c LEFT JOIN h ON h.trace_id = c.trace_id AND h.span_id = c.span_id LEFT JOIN h hp ON hp.trace_id = c.trace_id AND hp.span_id = c.parent_span_id LEFT JOIN h hl ON hl.trace_id = c.trace_id AND hl.span_id = c.link LEFT JOIN n ON n.trace_id = c.trace_id AND n.event_id = c.event_id""")
 def export_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.export_view(events(spark, sf_dir), "redacted")
-    return out.select("trace_id", "sequence", "event_id", "rekeyed", "span_id", "parent_span_id", F.array_join("links", ",").alias("links"), F.size("content").cast("long").alias("parts"))
+    out = S.export_view(events(spark, sf_dir, ("ordinal", "type", "status", "keep")), "redacted")
+    return out.select("trace_id", "sequence", "event_id", "rekeyed", "span_id", "parent_span_id", F.array_join("links", ",").alias("links"), "parts")
 
 
 @query("redaction_report", _P + f""", x AS ({_EXCLUDED}), c AS (SELECT p.* FROM p ANTI JOIN x ON x.trace_id = p.trace_id AND x.event_id = p.event_id WHERE p.include AND p.keep)

@@ -9,6 +9,7 @@ from spoorlake import plans
 from spoorlake.functions import evidence, udfs
 from spoorlake.operators import policy, selection
 from spoorlake.operators.components import connected_components
+from spoorlake.plans.selection import events as selection_events
 
 SF = "/root/testdata/sf0.001"
 plans.load()
@@ -155,3 +156,11 @@ def test_canonical_publication(spark, tmp_path):
     assert spark.read.parquet(f"{path}/blobs").count() == 1 and spark.read.json(f"{path}/reports/redaction").count() == 1 and export.verify(spark, path).count() == 0
     with pytest.raises(ValueError):
         export.publish_canonical(spark, path + "2", one, one, spark.createDataFrame([("0", "a")], "sha256 string, value string"))
+
+
+def test_content_is_counted_before_it_is_moved(spark):
+    out = plans.QUERIES["export_view"](spark, SF)._jdf.queryExecution().optimizedPlan()
+    joins = [n for n in out.toString().splitlines() if "Join " in n]
+    assert len(joins) == 4 and "AS content" not in out.toString().split("Join ", 1)[0]
+    whole = selection.export_view(selection_events(spark, SF), "redacted").select("parts", F.size("content").alias("n"))
+    assert whole.where("parts <> n").count() == 0 < whole.where("parts > 0").count()
