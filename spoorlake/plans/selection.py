@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import DOMAIN, stable_id
+from ..functions.text import bound
 from ..operators import selection as S
 from .canonical import EV, canonical
 from .registry import query, table
@@ -67,12 +68,14 @@ def export_view(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT 'redaction_status' AS field, status AS value, count(*) AS n FROM c GROUP BY 2 UNION ALL SELECT 'sensitivity', sensitivity, count(*) FROM c GROUP BY 2 UNION ALL SELECT 'parts', 'original', count(*) FROM p UNION ALL SELECT 'parts', 'exported', count(*) FROM c""")
 def redaction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by redaction status and sensitivity of what is exported, and of parts before and after: one pass."""
-    ev = events(spark, sf_dir)
-    parts = ev.select((F.col("include") & ~S.projection_excluded(F.col("event_type"), F.col("content"))).alias("whole"), F.explode("content").alias("p"))
-    out = F.col("whole") & F.col("p.keep")
+    ev = events(spark, sf_dir, ("type", "status", "sensitivity", "keep"))
+    # Parts are counted by what decides their rows, and made once; only those few counts become rows.
+    of = lambda c: F.transform(c, lambda p: F.struct((F.col("include") & ~S.projection_excluded(F.col("event_type"), c) & p["keep"]).alias("out"), p["status"].alias("status"), p["sensitivity"].alias("sensitivity")))
+    parts = ev.select(F.explode(bound(F.col("content"), of)).alias("p")).groupBy("p.out", "p.status", "p.sensitivity").agg(F.count("*").alias("n"))
+    out = F.col("out")
     row = lambda field, value: F.struct(F.lit(field).alias("field"), value.alias("value"))
-    each = F.array(row("parts", F.lit("original")), F.when(out, row("parts", F.lit("exported"))), F.when(out, row("redaction_status", F.col("p.status"))), F.when(out, row("sensitivity", F.col("p.sensitivity"))))
-    return parts.select(F.explode(F.array_compact(each)).alias("r")).groupBy("r.field", "r.value").agg(F.count("*").alias("n"))
+    each = F.array(row("parts", F.lit("original")), F.when(out, row("parts", F.lit("exported"))), F.when(out, row("redaction_status", F.col("status"))), F.when(out, row("sensitivity", F.col("sensitivity"))))
+    return parts.select("n", F.explode(F.array_compact(each)).alias("r")).groupBy("r.field", "r.value").agg(F.sum("n").alias("n"))
 
 
 @query("span_topology", _P.split(", p AS (")[0] + """ , m AS (SELECT trace_id, parent_span_id AS span_id, 1 AS parent FROM s WHERE parent_span_id IS NOT NULL UNION ALL SELECT trace_id, link, 0 FROM s WHERE link IS NOT NULL)

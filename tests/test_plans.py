@@ -164,3 +164,7 @@ def test_content_is_counted_before_it_is_moved(spark):
     assert len(joins) == 4 and "AS content" not in out.toString().split("Join ", 1)[0]
     whole = selection.export_view(selection_events(spark, SF), "redacted").select("parts", F.size("content").alias("n"))
     assert whole.where("parts <> n").count() == 0 < whole.where("parts > 0").count()
+
+
+def test_a_report_makes_only_the_fields_that_it_counts(spark):
+    assert "md5" not in plans.QUERIES["redaction_report"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
